@@ -1,14 +1,19 @@
 """Byte-level BPE encoding and decoding as a tree reduction.
 
-The encodings of two neighbouring byte strings join by re-encoding a window of tokens around the seam.
-A token sequence is the encoding of its bytes exactly when each adjacent pair of its tokens encodes to
-itself: until the first merge across some token boundary, merging inside any two neighbours runs as it
-would on those two alone. So once the re-encoded window starts and ends with the tokens it had before,
-nothing outside it can change; else the window grows on the side that changed. This asks that each
-token of the vocabulary encodes to itself, which ``Vocabulary.sound`` verifies.
-
-Defined results: null and empty texts have no tokens; lone long runs (one word of megabytes) take
-logarithmic depth; repeated rows each get a row; an empty table gives an empty result.
+A text is halved down to short leaves, each encoded on its own, and neighbours join by re-encoding a
+window around the seam. The window grows on either side until it ends at a cut which no match of the
+pre-tokenizing pattern can cross, whatever stands around it: a lone space between two characters that
+are not white space (the space can only lead a match). Tokens outside the window are then those of the
+whole text. A window that finds no cut is split into its matches, and matches of many bytes are
+encoded by the same reduction over their bytes: there, a token sequence is the encoding of its bytes
+exactly when each adjacent pair of its tokens encodes to itself, because until the first merge across
+some token boundary, merging inside any two neighbours runs as it would on those two alone. So once a
+re-encoded window starts and ends with the tokens it had before, nothing outside it can change. This
+asks that each token of the vocabulary encodes to itself, which ``Vocabulary.sound`` verifies.
+Leaves and windows, a few dozen characters each, are encoded by the tiktoken library's core.
+
+Defined results: null and empty texts have no tokens; one word of megabytes takes logarithmic depth;
+repeated rows each get a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +75,7 @@ class Vocabulary:
         if got is None:
             got = self.from_bytes(b"".join([self.token[t] for t in tokens]))
             if len(tokens) <= 4:
-                if len(self.windows) > 300_000:
+                if len(self.windows) > 50_000:
                     self.windows.clear()
                 self.windows[tokens] = got
         return got
@@ -100,7 +106,7 @@ class Vocabulary:
             return []
         got = self.join(self.encode(raw[: n // 2]), self.encode(raw[n // 2 :]))
         if n <= 24:
-            if len(self.parts) > 500_000:
+            if len(self.parts) > 50_000:
                 self.parts.clear()
             self.parts[raw] = got
         return got
@@ -114,39 +120,52 @@ class Vocabulary:
 
 
 class Coder:
-    """A vocabulary with a pre-tokenizing pattern and a bounded memory of what words encode to."""
-
-    def __init__(self, path: str, pattern: str, most: int = 400_000) -> None:
-        self.words, self.find, self.seen, self.most = Vocabulary(path), regex.compile(pattern).findall, {}, most
-
-    def piece(self, text: str) -> bytes:
-        encode, out = self.words.encode, []
-        for m in self.find(text):
-            out += encode(m.encode())
-        return array("I", out).tobytes() if _LITTLE else np.array(out, "<u4").tobytes()
+    """A vocabulary with a pre-tokenizing pattern; leaf: characters encoded at once, most: of a window so encoded."""
+
+    def __init__(self, path: str, pattern: str, leaf: int = 512, most: int = 4096) -> None:
+        self.words, self.find, self.leaf, self.most = Vocabulary(path), regex.compile(pattern).findall, leaf, most
+        self.core = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=self.words.rank, special_tokens={}).encode_ordinary
+
+    def short(self, text: str) -> list[int]:
+        """The ids of a leaf or window."""
+        if len(text) <= self.most:
+            return self.core(text)
+        out: list[int] = []
+        for match in self.find(text):
+            out += self.core(match) if len(match) <= 64 else self.words.encode(match.encode())
+        return out
+
+    @staticmethod
+    def cut_before(text: str, low: int, high: int) -> int:
+        """The last cut strictly inside text[low:high], else low."""
+        k = text.rfind(" ", low + 1, high - 1)
+        while k >= 0 and (text[k - 1].isspace() or text[k + 1].isspace()):
+            k = text.rfind(" ", low + 1, k)
+        return k if k >= 0 else low
+
+    @staticmethod
+    def cut_after(text: str, low: int, high: int) -> int:
+        """The first cut strictly inside text[low:high], else high."""
+        k = text.find(" ", low + 1, high - 1)
+        while k >= 0 and (text[k - 1].isspace() or text[k + 1].isspace()):
+            k = text.find(" ", k + 1, high - 1)
+        return k if k >= 0 else high
+
+    def part(self, text: str, low: int, high: int) -> list[int]:
+        """The ids of text[low:high]."""
+        if high - low <= self.leaf:
+            return self.core(text[low:high])
+        mid = (low + high) // 2
+        left, right = self.part(text, low, mid), self.part(text, mid, high)
+        a, b = self.cut_before(text, low, mid), self.cut_after(text, mid, high)
+        gone = len(left) if a == low else len(self.short(text[a:mid]))
+        lost = len(right) if b == high else len(self.short(text[mid:b]))
+        return left[: len(left) - gone] + self.short(text[a:b]) + right[lost:]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers.
-
-        Where all spaces stand alone, no match crosses from before a space to after it, save that the
-        space may lead a match; so the text is cut there and each cut's ids are remembered.
-        """
-        if not text:
-            return b""
-        if "  " in text:
-            return self.piece(text)
-        first, *rest = text.split(" ")
-        seen, out = self.seen, [self.piece(first)]
-        if len(seen) > self.most:
-            seen.clear()
-        for word in rest:
-            got = seen.get(word)
-            if got is None:
-                got = self.piece(" " + word)
-                if len(word) <= 64:
-                    seen[word] = got
-            out.append(got)
-        return b"".join(out)
+        """The ids as little-endian unsigned 32-bit integers."""
+        ids = self.part(text, 0, len(text))
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
 
 def coder(path: str, pattern: str) -> Coder:

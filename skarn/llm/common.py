@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that a function of arrow_map sees at once.
+SLICE = 1024
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package by name (they then keep caches between tasks)."""
     env = spark.sparkContext.environment
@@ -47,8 +51,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
                 out = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 

@@ -125,10 +125,10 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
     scanned = scan(docs, templates, phrases, id_col, text_col)
     joined = matches(scanned, ordered(docs.sparkSession, scanned, templates, threshold))
     by_row = joined.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
+    base = F.sort_array(F.array_distinct(F.transform("places", lambda p: p.label)))
     start = F.transform("places", lambda p: p.start)
     return scanned.join(by_row, "row", "left").select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

@@ -46,12 +46,12 @@ def covered(hashes: Column, width: int = 5) -> Column:
             lambda x: x.p,
         )
         return let(
-            F.array_sort(at),
+            F.sort_array(at),
             lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0).cast("long"), lambda a, x: a + x),
         )
 
     twice = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    return F.when(twice, let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), places)).otherwise(F.lit(0).cast("long"))
+    return F.when(twice, let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), places)).otherwise(F.lit(0).cast("long"))
 
 
 def shapes(words: Column) -> Column:
@@ -62,12 +62,16 @@ def shapes(words: Column) -> Column:
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of the shapes and of the pairs of neighbouring shapes."""
+    """Bucket numbers of the shapes and of the pairs of neighbouring shapes, each (g) with its count (c)."""
+
+    def runs(g: Column) -> Column:
+        starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"), ((i == 0) | (F.get(g, i - 1) != x)).alias("new"))), lambda x: x.new)
+        return let(starts, lambda s: F.transform(s, lambda x, i: F.struct(x.g.alias("g"), (F.coalesce(F.get(s, i + 1).i, F.size(g)) - x.i).alias("c"))))
 
     def both(s: Column) -> Column:
         one = F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
         two = F.transform(s, lambda w, i: F.pmod(F.xxhash64(w, F.coalesce(F.get(s, i + 1), F.lit(""))), F.lit(buckets)).cast("int"))
-        return F.concat(one, two)
+        return let(F.sort_array(F.concat(one, two)), runs)
 
     return let(shapes(words), both)
 
@@ -98,8 +102,8 @@ def measure(docs: DataFrame, buckets: int = 4096, id_col: str = "doc_id", text_c
 def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 4096) -> list[float]:
     """log(p_target / p_raw) of each bucket; trusted has the doc_id of the trusted texts. At most ``buckets`` rows reach the driver."""
     flag = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("t", F.lit(1))
-    each = measured.select("doc_id", "grams").join(flag, "doc_id", "left").select(F.explode("grams").alias("g"), "t")
-    rows = each.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("target")).collect()
+    each = measured.select("doc_id", "grams").join(flag, "doc_id", "left").select(F.inline("grams"), "t")
+    rows = each.groupBy("g").agg(F.sum("c").alias("raw"), F.coalesce(F.sum(F.when(F.col("t") == 1, F.col("c"))), F.lit(0)).alias("target")).collect()
     all_raw, all_target = sum(r.raw for r in rows), sum(r.target for r in rows)
     out = [0.0] * buckets
     if all_target:
@@ -111,8 +115,8 @@ def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 4096) -> list
 def judge(measured: DataFrame, table: list[float], threshold: float = -0.1) -> DataFrame:
     """Adds llr, base_failed and kept."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a constant
-    n = F.size("grams")
-    llr = F.when(n > 0, F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(weights, g)) / n).otherwise(F.lit(0.0))
+    n = F.aggregate("grams", F.lit(0), lambda a, x: a + x.c)
+    llr = F.when(n > 0, F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get(weights, x.g) * x.c) / n).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("llr", F.round(llr, 9)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 

@@ -109,7 +109,7 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
     scanned = scan(docs, owner, repository, id_col, text_col)
     each = scanned.where(F.size("found") > 0).select("row", F.posexplode("found").alias("at", "f")).select("row", "at", "f.kind", "f.start", "f.end", "f.hash")
     judged = each.join(ownership(scanned, max_owners), "hash").where(F.col("live") | F.col("kind").isin(*BASE))
-    spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "start", "end", "n_owners", "live"))).alias("spans"))
+    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "start", "end", "n_owners", "live"))).alias("spans"))
     empty = F.array().cast("array<struct<at:int,kind:string,start:bigint,end:bigint,n_owners:bigint,live:boolean>>")
     return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("found"))
 
