@@ -21,6 +21,7 @@ SLICE = 1024
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package by name (they then keep caches between tasks)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE))  # texts are long: small batches bound memory
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))

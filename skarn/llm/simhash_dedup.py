@@ -164,15 +164,19 @@ def _link_partition(radius: int):
             moved = np.flatnonzero(labels != np.arange(len(labels)))
             return pa.RecordBatch.from_arrays([pa.array(fps[labels[moved]]), pa.array(fps[moved])], schema=schema)
 
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, fps, n = [], [], 0  # whole runs are compared once some thousand rows have come
         for batch in batches:
-            keys, fps = np.r_[keys, batch.column("run").to_numpy()], np.r_[fps, batch.column("fp").to_numpy()]
-            if len(keys) and keys[0] != keys[-1]:
-                last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-                yield flush(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield flush(keys, fps)
+            keys.append(batch.column("run").to_numpy())
+            fps.append(batch.column("fp").to_numpy())
+            n += batch.num_rows
+            if n >= 8192:
+                k, f = np.concatenate(keys), np.concatenate(fps)
+                last = int(np.searchsorted(k, k[-1]))
+                if last:
+                    yield flush(k[:last], f[:last])
+                keys, fps, n = [k[last:]], [f[last:]], 0
+        if keys and len(k := np.concatenate(keys)):
+            yield flush(k, np.concatenate(fps))
 
     return run
 
