@@ -1,0 +1,438 @@
+"""Queries of the library's operators over the driver's tables, each with its DuckDB equivalent where SQL has one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skarn.functions import text as T
+from skarn.lexicon import Lexicon
+from skarn.operators import answer, chunking, extract, facts, graph, search
+from skarn.sources import store
+from skarn.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: The tables hold no Cyrillic, so entity queries use words that their texts do hold.
+WORDS = Lexicon(keywords={"Material": ["ore", "nd", "tion"], "Process": ["and", "ing"], "Equipment": ["mill", "ther"], "Parameter": ["with", "for"]}, synonyms={"motion": ["tion"], "adding": ["ing"]}, units=["%", "mg/l", "x", "th"])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- documents ---
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\\x{0400}-\\x{04ff}]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS language,
+  CASE WHEN h AND f THEN 'Global' WHEN h THEN 'Russia' WHEN f THEN 'Foreign' ELSE 'Unknown' END AS geography,
+  CAST(nullif(regexp_extract(substr(text, 1, 3000), '(20[0-2][0-9]|19[89][0-9])', 1), '') AS INTEGER) AS year,
+  length(trim(text, E' \\n\\t\\r')) >= 100 AS long_enough, substr(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS id
+FROM (SELECT *, regexp_matches(lower(text), 'russia|nornickel') AS h, regexp_matches(lower(text), 'australia|canada|chile|new caledonia|finland|china|japan|usa|zambia|congo') AS f FROM documents)""")
+def doc_metadata(spark, sf):
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", T.language("text").alias("language"), T.geography("text").alias("geography"), T.year("text").alias("year"), (F.length(T.strip("text")) >= 100).alias("long_enough"), T.doc_id(F.col("doc_id").cast("string")).alias("id"))
+
+
+@query("""
+SELECT doc_id, substr(coalesce(list_filter(list_filter(list_transform(string_split(substr(text, 1, 2000), chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '')[1:15],
+  lambda x: length(x) > 15 AND NOT regexp_matches(lower(x), '^(www\\.|http|issn|doi)'))[1], 'doc-' || doc_id), 1, 200) AS title FROM documents""")
+def title_guess(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.title("text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("title"))
+
+
+@query("""
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n, CAST(len(list_distinct(l)) AS BIGINT) AS n_distinct
+FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 1) AS l FROM documents)""")
+def token_stats(spark, sf):
+    tokens = F.transform(F.array(T.tokens("text")), lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("n_distinct")))[0]
+    return t(spark, sf, "documents").select("doc_id", tokens.alias("s")).select("doc_id", "s.*")
+
+
+@query("""
+SELECT md5, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, md5(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS md5 FROM documents) GROUP BY md5""")
+def dedupe_md5(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.content_md5("text").alias("md5")).groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT doc_id, repeat('★', s) || repeat('☆', 5 - s) AS stars, CASE WHEN c >= 0.8 THEN 'высокая' WHEN c >= 0.5 THEN 'средняя' ELSE 'низкая' END AS label
+FROM (SELECT doc_id, CAST(doc_id % 6 AS INTEGER) AS s, (doc_id % 10) / 10.0 AS c FROM documents)""")
+def labels_of_trust(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.trust_stars(F.col("doc_id") % 6).alias("stars"), T.confidence_label((F.col("doc_id") % 10) / 10.0).alias("label"))
+
+
+@query("""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN term = 'ni' THEN 'никель' WHEN term = 'cu' THEN 'медь' WHEN term = 'co' THEN 'кобальт' ELSE trim(raw) END AS canonical
+FROM (SELECT p_partkey, raw, lower(trim(raw)) AS term FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' Ni ' WHEN 1 THEN 'CU' WHEN 2 THEN 'co' ELSE p_brand END AS raw FROM part))""")
+def term_normalisation(spark, sf):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, " Ni ").when(k == 1, "CU").when(k == 2, "co").otherwise(F.col("p_brand"))
+    return t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), T.normalize_term(raw).alias("canonical"))
+
+
+@query()
+def authors(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.authors("text").alias("authors"))
+
+
+@query()
+def chunks(spark, sf):
+    return chunking.chunk_pages(t(spark, sf, "documents").select("doc_id", F.array("text").alias("pages")))
+
+
+# --- search ---
+
+_BM25 = """
+WITH tok AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 1) AS l FROM documents),
+q AS (SELECT * FROM (VALUES ('the'), ('and'), ('there')) v(term)), s AS (SELECT count(*) AS n, greatest(avg(len(l)), 1) AS a FROM tok),
+tf AS (SELECT id, len(l) AS dl, term, len(list_filter(l, lambda x: x = term)) AS tf FROM tok, q), df AS (SELECT term, count(*) AS d FROM tf WHERE tf > 0 GROUP BY term),
+hit AS (SELECT id, round(sum(ln((n - d + 0.5) / (d + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s WHERE tf > 0 GROUP BY id)
+"""
+
+
+@query(_BM25 + "SELECT id AS doc_id, score FROM hit ORDER BY score DESC, id LIMIT 10")
+def bm25_topk(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    top = search.bm25(d, "the and there", 50)
+    return top.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query("""
+SELECT term, CAST(count(*) AS BIGINT) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf
+FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 1)) AS term FROM documents) GROUP BY term HAVING count(*) >= 5""")
+def term_index(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.term_stats(search.postings(d), d.count()).where("df >= 5").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
+
+
+@query(f"SELECT e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_DOT} DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf):
+    e = t(spark, sf, "embeddings")
+    q = e.where("vec_id = 0").first().embedding
+    return search.vector_topk(e, q, 10, "vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(
+    _BM25
+    + f""", b AS (SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 20), v AS (SELECT e.vec_id AS id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 20)
+SELECT coalesce(b.id, v.id) AS id, round(0.4 * coalesce(b.score / (SELECT greatest(max(score), 1e-9) FROM b), 0) + 0.6 * coalesce(v.score / (SELECT greatest(max(score), 1e-9) FROM v), 0), 4) AS score
+FROM b FULL OUTER JOIN v ON b.id = v.id"""
+)
+def hybrid_topk(spark, sf):
+    e = t(spark, sf, "embeddings")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    text = search.bm25(d, "the and there", 60).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
+    return search.combined(text, search.vector_topk(e, e.where("vec_id = 0").first().embedding, 20, "vec_id")).select("id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE (year(o_orderdate) >= 1995 AND year(o_orderdate) <= 1996 OR o_orderkey % 7 = 0) AND o_orderstatus IN ('F', 'O')")
+def filter_null_pass(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.year("o_orderdate")).alias("year"), F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("category"))
+    return o.where(search.matches({"category": ["F", "O"], "year_from": 1995, "year_to": 1996, "unknown": 1})).select("id", F.col("y").alias("year"))
+
+
+@query("SELECT doc_id AS id, year, lang AS category FROM (SELECT *, CAST(1990 + doc_id % 30 AS INTEGER) AS year FROM documents) WHERE lang = 'en' AND year >= 2000 ORDER BY year DESC, doc_id LIMIT 50")
+def documents_list(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), (1990 + F.col("doc_id") % 30).cast("int").alias("year"))
+    return search.listed(d, category="en", year_from=2000)[0]
+
+
+# --- entities ---
+
+_LEX = "(VALUES (0, 'Material', 'ore', 'ore'), (1, 'Material', 'nd', 'nd'), (2, 'Material', 'tion', 'motion'), (3, 'Process', 'and', 'and'), (4, 'Process', 'ing', 'adding'), (5, 'Equipment', 'mill', 'mill'), (6, 'Equipment', 'ther', 'ther'), (7, 'Parameter', 'with', 'with'), (8, 'Parameter', 'for', 'for')) l(ord, type, name, canonical)"
+
+
+@query(f"SELECT doc_id, type, name, canonical FROM documents, {_LEX} WHERE contains(lower(text), name)")
+def keyword_entities(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.inline(extract.keyword_mentions(F.col("text"), WORDS))).select("doc_id", "type", "name", "canonical")
+
+
+@query()
+def numeric_values(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.inline(extract.numeric_values(F.col("text"), WORDS))).select("doc_id", "name", "value_low", "value_high", "unit")
+
+
+def _chunks(spark, sf):
+    return t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.lit(0).alias("idx"), "text")
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, type, canonical FROM documents, {_LEX} WHERE contains(lower(text), name))
+SELECT p.doc_id, p.canonical AS src, o.canonical AS dst, CASE o.type WHEN 'Material' THEN 'uses_material' ELSE 'uses_equipment' END AS rel_type
+FROM m p JOIN m o ON p.doc_id = o.doc_id AND p.type = 'Process' AND o.type IN ('Material', 'Equipment') AND (o.type = 'Equipment' OR o.canonical <> p.canonical)""")
+def cooccur_relations(spark, sf):
+    c = _chunks(spark, sf)
+    found = c.select(F.col("id").alias("chunk_id"), "doc_id", F.col("idx").alias("chunk_idx"), F.inline(extract.keyword_mentions(F.col("text"), WORDS)))
+    return extract.relations(found, c).select("doc_id", "src", "dst", "rel_type")
+
+
+@query()
+def extraction(spark, sf):
+    return extract.mentions(_chunks(spark, sf), WORDS)
+
+
+# --- graph over the star schema: nations and customers, suppliers and parts ---
+
+
+def _evidence(spark, sf):
+    line = t(spark, sf, "lineitem")
+    node = line.select(F.lit("Process").alias("type"), F.col("l_suppkey").cast("string").alias("canonical"), F.concat(F.lit("s"), F.col("l_shipmode") if "l_shipmode" in line.columns else F.col("l_returnflag")).alias("name"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("trust"), F.col("l_linestatus").alias("geography"), F.create_map(F.lit("q"), F.col("l_quantity").cast("string")).alias("properties"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"))
+    edge = line.select(F.concat(F.lit("Process:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("Parameter:"), (F.col("l_partkey") % 50).cast("string")).alias("dst"), F.lit("has_parameter").alias("rel_type"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("trust"), F.col("l_quantity").cast("double").alias("value_low"), F.col("l_quantity").cast("double").alias("value_high"), F.col("l_returnflag").alias("unit"), F.lit("e").alias("evidence"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"))
+    return node, edge
+
+
+@query("""
+SELECT 'Process:' || l_suppkey AS id, 's' || arg_min(l_returnflag, s) AS name, arg_min(l_linestatus, s) AS geography, CAST(max(l_linenumber) AS INTEGER) AS trust, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_sources, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS n_names, CAST(CAST(arg_max(l_quantity, s) AS DOUBLE) AS VARCHAR) AS q
+FROM (SELECT *, l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey AS s FROM lineitem) GROUP BY l_suppkey""")
+def graph_nodes(spark, sf):
+    n = graph.nodes(_evidence(spark, sf)[0])
+    return n.select("id", "name", "geography", "trust", F.size("source_ids").cast("long").alias("n_sources"), F.size("names").cast("long").alias("n_names"), F.col("properties")["q"].alias("q"))
+
+
+@query("""
+SELECT 'Process:' || l_suppkey AS src, 'Parameter:' || (l_partkey % 50) AS dst, CAST(max(l_linenumber) AS INTEGER) AS trust, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_sources, CAST(arg_max(l_quantity, s) AS DOUBLE) AS value_low, arg_max(l_returnflag, s) AS unit
+FROM (SELECT *, l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey AS s FROM lineitem) GROUP BY l_suppkey, l_partkey % 50""")
+def graph_edges(spark, sf):
+    return graph.edges(_evidence(spark, sf)[1]).select("src", "dst", "trust", F.size("source_ids").cast("long").alias("n_sources"), "value_low", "unit")
+
+
+def _star(spark, sf):
+    c, n, r, s = (t(spark, sf, x) for x in ("customer", "nation", "region", "supplier"))
+    node = (
+        n.select(F.concat(F.lit("Nation:"), "n_nationkey").alias("id"), F.lit("Nation").alias("type"), F.col("n_name").alias("name"))
+        .union(r.select(F.concat(F.lit("Region:"), "r_regionkey"), F.lit("Region"), "r_name"))
+        .union(s.select(F.concat(F.lit("Supplier:"), "s_suppkey"), F.lit("Supplier"), "s_name"))
+        .union(c.select(F.concat(F.lit("Customer:"), "c_custkey"), F.lit("Customer"), "c_name"))
+    )
+    edge = (
+        n.select(F.concat(F.lit("Nation:"), "n_nationkey").alias("src"), F.concat(F.lit("Region:"), "n_regionkey").alias("dst"), F.lit("in_region").alias("rel_type"))
+        .union(s.select(F.concat(F.lit("Supplier:"), "s_suppkey"), F.concat(F.lit("Nation:"), "s_nationkey"), F.lit("in_nation")))
+        .union(c.select(F.concat(F.lit("Customer:"), "c_custkey"), F.concat(F.lit("Nation:"), "c_nationkey"), F.lit("in_nation")))
+    )
+    return node.withColumn("canonical", F.col("name")), edge
+
+
+_E = "(SELECT 'Nation:' || n_nationkey AS src, 'Region:' || n_regionkey AS dst, 'in_region' AS rel_type FROM nation UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey, 'in_nation' FROM supplier UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey, 'in_nation' FROM customer)"
+_N = "(SELECT 'Nation:' || n_nationkey AS id, 'Nation' AS type, n_name AS name FROM nation UNION ALL SELECT 'Region:' || r_regionkey, 'Region', r_name FROM region UNION ALL SELECT 'Supplier:' || s_suppkey, 'Supplier', s_name FROM supplier UNION ALL SELECT 'Customer:' || c_custkey, 'Customer', c_name FROM customer)"
+
+
+@query(f"SELECT 'node' AS kind, type, CAST(count(*) AS BIGINT) AS n FROM {_N} GROUP BY ROLLUP (type) UNION ALL SELECT 'edge', rel_type, CAST(count(*) AS BIGINT) FROM {_E} GROUP BY ROLLUP (rel_type)")
+def graph_stats(spark, sf):
+    return graph.stats(*_star(spark, sf))
+
+
+@query(f"SELECT id, type, name FROM {_N} WHERE type = 'Customer' AND contains(lower(name), '12') ORDER BY id LIMIT 20")
+def find_entities(spark, sf):
+    return graph.find_entities(_star(spark, sf)[0], type="Customer", name="12", limit=20).select("id", "type", "name")
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {_E} UNION ALL SELECT dst, src FROM {_E}), w(id, distance) AS (SELECT 'Region:0', 0 UNION SELECT e.b, w.distance + 1 FROM w JOIN e ON e.a = w.id WHERE w.distance < 2)
+SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY id""")
+def neighbors_bfs(spark, sf):
+    return graph.neighbours(_star(spark, sf)[1], "Region:0", depth=2, limit=100_000)[0]
+
+
+@query(f"SELECT src, dst, rel_type FROM {_E} WHERE src = 'Nation:3' OR dst = 'Nation:3'")
+def incident_edges(spark, sf):
+    return graph.incident(_star(spark, sf)[1], "Nation:3")
+
+
+@query("""
+SELECT 'Parameter:' || (l_partkey % 50) AS dst, CAST(arg_max(l_quantity, s) AS DOUBLE) AS value_low
+FROM (SELECT *, l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey AS s FROM lineitem) WHERE l_suppkey = 3 GROUP BY l_partkey % 50""")
+def process_chain(spark, sf):
+    edge = graph.edges(_evidence(spark, sf)[1].where("src = 'Process:3'"))
+    node = edge.select(F.col("dst").alias("id"), F.lit("Parameter").alias("type"), F.col("dst").alias("canonical")).distinct()
+    return graph.chain(edge, node, "3").select(F.col("target").alias("dst"), "value_low")
+
+
+@query(f"SELECT src, dst, rel_type FROM {_E} e WHERE dst IN ('Nation:1', 'Nation:2') ORDER BY src, dst, rel_type LIMIT 100")
+def subgraph(spark, sf):
+    node, edge = _star(spark, sf)
+    as_doc = edge.withColumn("dst", F.regexp_replace("dst", "^Nation:", "Publication:doc:"))
+    return graph.subgraph(as_doc, node, ["1", "2"])[1].withColumn("dst", F.regexp_replace("dst", "^Publication:doc:", "Nation:"))
+
+
+@query("""
+SELECT 'Process:' || l_suppkey AS src, 'Parameter:' || (l_partkey % 50) AS dst, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, CAST(count(*) AS BIGINT) AS n
+FROM lineitem GROUP BY l_suppkey, l_partkey % 50 HAVING count(*) >= 2 AND (max(l_quantity) - min(l_quantity)) / max(l_quantity) > 0.3""")
+def contradictions(spark, sf):
+    return graph.contradictions(_evidence(spark, sf)[1]).select("src", "dst", "low", "high", "n")
+
+
+@query("""
+WITH p AS (SELECT * FROM (SELECT 'Process:' || s_suppkey AS process FROM supplier) ORDER BY process LIMIT 20), m AS (SELECT * FROM (SELECT 'Material:' || p_partkey AS material FROM part) ORDER BY material LIMIT 20)
+SELECT process, material FROM p, m WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE 'Process:' || l_suppkey = process AND 'Material:' || l_partkey = material) ORDER BY process, material LIMIT 50""")
+def gaps(spark, sf):
+    two = F.array(F.lit("a"), F.lit("b"))
+    node = t(spark, sf, "supplier").select(F.concat(F.lit("Process:"), "s_suppkey").alias("id"), F.lit("Process").alias("type"), two.alias("source_ids")).union(t(spark, sf, "part").select(F.concat(F.lit("Material:"), "p_partkey"), F.lit("Material"), two))
+    used = t(spark, sf, "lineitem").select(F.concat(F.lit("Process:"), "l_suppkey").alias("src"), F.concat(F.lit("Material:"), "l_partkey").alias("dst")).distinct().withColumn("rel_type", F.lit("uses_material"))
+    return graph.gaps(node, used).select("process", "material")
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, ts_id) AS name FROM (SELECT *, CAST(epoch_us(ts) AS HUGEINT) * 100000 + event_id % 100000 AS ts_id FROM events) GROUP BY user_id HAVING arg_max(event_type, ts_id) <> 'click'""")
+def curation_latest(spark, sf):
+    e = t(spark, sf, "events")
+    edits = e.select(F.col("user_id").cast("string").alias("id"), F.struct("ts", (F.col("event_id") % 100000).alias("e")).alias("at"), (F.col("event_type") == "click").alias("deleted"), F.col("event_type").alias("name"))
+    rows = spark.createDataFrame([], "id string, name string")
+    return graph.curated(rows, edits)
+
+
+# --- facts and dashboards ---
+
+
+def _facts(spark, sf):
+    """Events as facts: type is the subject, value the value, half of the users' rows restricted."""
+    e = t(spark, sf, "events")
+    u = F.col("user_id")
+    return e.select(
+        F.col("event_type").alias("canon"), F.lit("value").alias("metric"), F.col("value").alias("value_low"), F.col("value").alias("value_high"), F.lit("x").alias("unit"), F.lit(None).cast("string").alias("phase"), F.lit("").alias("quote"),
+        u.cast("string").alias("doc_id"), F.when(u % 3 > 0, (2000 + u % 20).cast("int")).alias("year"), ((u % 10) / 10).alias("confidence"), F.col("ts").alias("extracted_at"), F.when(u % 2 == 0, "restricted").alias("sensitivity"),
+        F.when(u % 4 == 0, "RU").when(u % 4 == 1, "WORLD").alias("geo"), F.col("event_id").alias("id"),
+    )
+
+
+def _docs(spark, sf):
+    d = t(spark, sf, "events").select("user_id").distinct()
+    u = F.col("user_id")
+    return d.select(u.cast("string").alias("doc_id"), F.when(u % 4 == 0, "RU").when(u % 4 == 1, "WORLD").alias("geo"), F.array(F.concat(F.lit("d"), (u % 5).cast("string"))).alias("domains"))
+
+
+@query("SELECT event_id AS id FROM events WHERE (user_id % 10) / 10.0 >= 0.5 AND (user_id % 3 = 0 OR 2000 + user_id % 20 >= 2005) AND CASE user_id % 4 WHEN 0 THEN 'RU' ELSE 'WORLD' END = 'WORLD' AND contains(event_type, 'c')")
+def fact_filters(spark, sf):
+    return _facts(spark, sf).where(facts.passes({"min_confidence": 0.5, "year_from": 2005, "geo": ["WORLD"], "material": ["c"]})).select("id")
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE user_id % 2 = 1) AS BIGINT) AS visible, CAST(count(*) FILTER (WHERE user_id % 2 = 0) AS BIGINT) AS hidden_count FROM events")
+def rbac_hidden(spark, sf):
+    see = facts.visible("external_partner")
+    return _facts(spark, sf).agg(F.count(F.when(see, 1)).alias("visible"), F.count(F.when(~see, 1)).alias("hidden_count"))
+
+
+_VP = "SELECT l_suppkey AS s, l_partkey % 50 AS p, l_returnflag AS u, l_orderkey AS d, CAST(l_quantity AS DOUBLE) AS v FROM lineitem"
+
+
+@query(f"""
+SELECT rel, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN abs(a.v - b.v) / greatest(a.v, b.v) <= 0.1 THEN 'VALIDATED_BY' WHEN abs(a.v - b.v) / greatest(a.v, b.v) > 0.2 THEN 'CONTRADICTS' END AS rel
+FROM ({_VP}) a JOIN ({_VP}) b ON a.s = b.s AND a.p = b.p AND a.u = b.u AND CAST(a.d AS VARCHAR) < CAST(b.d AS VARCHAR)) WHERE rel IS NOT NULL GROUP BY rel""")
+def verify_pairs(spark, sf):
+    f = t(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("metric"), (F.col("l_partkey") % 50).cast("string").alias("canon"), F.lit(None).cast("string").alias("phase"), F.col("l_returnflag").alias("unit"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_quantity").cast("double").alias("value_low"))
+    return facts.verify(f).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(abs(value - 45), 6) AS distance FROM events WHERE value <= 50 AND value >= 40 ORDER BY abs(value - 45) LIMIT 20")
+def numeric_range(spark, sf):
+    return search.in_range(_facts(spark, sf), 40, 50).select(F.round("distance", 6).alias("distance"))
+
+
+@query("""
+SELECT dimension, value, n FROM (
+SELECT 'category' AS dimension, lang AS value, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang UNION ALL SELECT 'geography', source, CAST(count(*) AS BIGINT) FROM documents GROUP BY source
+UNION ALL SELECT 'year', CAST(1990 + doc_id % 30 AS VARCHAR), CAST(count(*) AS BIGINT) FROM documents GROUP BY 1990 + doc_id % 30 UNION ALL SELECT 'total', NULL, CAST(count(*) AS BIGINT) FROM documents)""")
+def dash_counts(spark, sf):
+    d = t(spark, sf, "documents")
+    return facts.dashboard(d.select(F.col("lang").alias("category"), F.col("source").alias("geography"), (1990 + F.col("doc_id") % 30).cast("int").alias("year")))
+
+
+@query("SELECT 'd' || (user_id % 5) AS key, CAST(count(DISTINCT user_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS facts FROM events GROUP BY user_id % 5")
+def coverage(spark, sf):
+    return facts.coverage(_docs(spark, sf), _facts(spark, sf), F.explode("domains"))
+
+
+@query("""
+SELECT l_orderkey AS canon, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS docs, count(DISTINCT l_suppkey) = 1 AS low_sources, bool_and(l_suppkey % 2 = 0) AS only_ru, bool_and(l_suppkey % 2 = 1) AS only_world
+FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1 OR bool_and(l_suppkey % 2 = 0) OR bool_and(l_suppkey % 2 = 1)""")
+def risk_zones(spark, sf):
+    line = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("canon"), F.col("l_suppkey").alias("doc_id"))
+    docs = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(F.col("s_suppkey") % 2 == 0, "RU").otherwise("WORLD").alias("geo"))
+    return facts.risk_zones(line, docs)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(count(*) AS BIGINT) AS facts, max(ts) AS last_extracted FROM events GROUP BY user_id ORDER BY max(ts) DESC, CAST(user_id AS VARCHAR) LIMIT 20")
+def activity(spark, sf):
+    return facts.activity(_facts(spark, sf))
+
+
+@query("SELECT c_mktsegment AS name, CAST(count(DISTINCT c_custkey) AS INTEGER) AS documents, CAST(count(DISTINCT c_nationkey) AS INTEGER) AS domains FROM customer GROUP BY c_mktsegment ORDER BY 2 DESC, 1 LIMIT 20")
+def expert_coverage(spark, sf):
+    c = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("name"), F.array(F.col("c_custkey").cast("string")).alias("doc_ids"), F.array(F.col("c_nationkey").cast("string")).alias("domains"))
+    return facts.expert_coverage(c).drop("domain_list")
+
+
+@query("""
+SELECT l_linestatus AS process, min(l_quantity) FILTER (l_returnflag = 'A') AS "A_min", max(l_quantity) FILTER (l_returnflag = 'A') AS "A_max", CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS "A_samples",
+min(l_quantity) FILTER (l_returnflag = 'Z') AS "Z_min", max(l_quantity) FILTER (l_returnflag = 'Z') AS "Z_max", CAST(nullif(count(*) FILTER (l_returnflag = 'Z'), 0) AS BIGINT) AS "Z_samples" FROM lineitem GROUP BY l_linestatus""")
+def compare_pivot(spark, sf):
+    line = t(spark, sf, "lineitem").select(F.col("l_linestatus").alias("process"), F.col("l_returnflag").alias("metric"), F.col("l_quantity").alias("value_low"), F.col("l_quantity").alias("value_high"))
+    return facts.compared(line, ["A", "Z"])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, q AS query, u AS user FROM (SELECT 'u1' AS u, 'click' AS q, TIMESTAMP '2024-01-15' AS s UNION ALL SELECT 'u2', 'view', TIMESTAMP '2024-01-20') JOIN events ON contains(event_type, q) AND ts > s GROUP BY q, u")
+def notify_check(spark, sf):
+    subs = spark.sql("SELECT 'u1' AS user, 'click' AS query, TIMESTAMP '2024-01-15' AS last_seen UNION ALL SELECT 'u2', 'view', TIMESTAMP '2024-01-20'")
+    return facts.notifications(F.broadcast(subs), _facts(spark, sf)).select("n", "query", "user")
+
+
+@query("SELECT event_id AS id, ts AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def audit_tail(spark, sf):
+    return facts.audit_tail(t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("event"))).select("id", "at")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS query, max(ts) AS at FROM events GROUP BY user_id ORDER BY max(ts) DESC, CAST(user_id AS VARCHAR) LIMIT 8")
+def history_mru(spark, sf):
+    return facts.history(t(spark, sf, "events").select(F.col("user_id").cast("string").alias("query"), F.col("ts").alias("at")))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+def experiments(spark, sf):
+    return facts.experiments(_facts(spark, sf)).select("doc_id", "n")
+
+
+# --- time, exports, questions ---
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type AS key, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2, 3")
+def window_tumbling(spark, sf):
+    return incremental.tumbling(t(spark, sf, "events"))
+
+
+@query("""
+SELECT user_id AS key, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g
+FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""")
+def window_session(spark, sf):
+    return incremental.sessions(t(spark, sf, "events"))
+
+
+@query()
+def export_markdown(spark, sf):
+    return store.markdown(_facts(spark, sf).orderBy("id").limit(8), "Отчёт", "Ответ")
+
+
+@query("""
+SELECT * FROM (VALUES ('Сравнить мировая практика 2015 и 2020', 'compare', 'Foreign,Global', 2015, 2020), ('нет данных за последние 5 лет', 'gaps', '', 2019, 2024), ('никель', 'search', '', NULL, NULL)) v(query, intent, geography, year_from, year_to)""")
+def parse_query(spark, sf):
+    rows = []
+    for q in ("Сравнить мировая практика 2015 и 2020", "нет данных за последние 5 лет", "никель"):
+        p = answer.parse_query(q, 2024)
+        f = p["filters"]
+        rows.append((q, p["intent"], ",".join(f.get("geography", [])), f.get("year_from"), f.get("year_to")))
+    return spark.createDataFrame(rows, "query string, intent string, geography string, year_from int, year_to int")
