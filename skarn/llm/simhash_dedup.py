@@ -224,7 +224,7 @@ def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4, cell: int = 4
     """
     named = near_duplicates(docs.where("doc_id IS NOT NULL"), width=width, radius=radius, cell=cell)
     kept = materialise(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    one = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")  # the ids kept grow with the input: never broadcast
     if kept.where("n > 1").limit(1).count():  # ids that repeat
         one = one.dropDuplicates(["doc_id"])
     return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
