@@ -48,7 +48,7 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    rows = materialise(base.select(F.monotonically_increasing_id().alias("row"), "*"), "pages")
+    rows = materialise(base.select(F.monotonically_increasing_id().alias("row"), "*"), "pages", "zstd")
     slim = rows.select("row", "page_id", "digest", "size")
     last = slim.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(last.select("digest", "o"), "digest", "left").select("row", "page_id", "url", "html", "digest", "size", F.when(F.col("o.row") != F.col("row"), F.col("o.row")).alias("original"))
