@@ -73,7 +73,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]  # one parameter: transform would hand a second one the index
 
 
 def spread(df: DataFrame, *cols: str, n: int | None = None) -> DataFrame:

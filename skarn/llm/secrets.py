@@ -135,15 +135,18 @@ def redacted(docs: DataFrame, max_owners: int = 1) -> DataFrame:
 
     Rows are scanned with their text and judged against the corpus-wide ownership table.
     """
+    mark = "_live"
+    while mark in docs.columns:
+        mark = f"_{mark}"
     scanned = scan(docs)
     live = ownership(scanned, max_owners).where("live").select("hash")
     hot = scanned.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.hash").alias("hash"))
-    marked = hot.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("_live"))
+    marked = hot.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias(mark))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
-        for k, hashes in enumerate(batch.column("_live").to_pylist()):
+        for k, hashes in enumerate(batch.column(mark).to_pylist()):
             text = texts[k]
             if text and hashes:
                 known, end = set(hashes), len(text)
@@ -154,4 +157,4 @@ def redacted(docs: DataFrame, max_owners: int = 1) -> DataFrame:
         return {n: batch.column(n) for n in names} | {"text": texts}
 
     joined = docs.join(marked.hint("merge"), "doc_id", "left")  # marks grow with the input: never broadcast
-    return arrow_map(joined.select(*names, "_live"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return arrow_map(joined.select(*names, mark), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
