@@ -116,7 +116,6 @@ def test_links_join_all_within_the_radius(spark, cell):
     fps = sorted({f - 2**64 if f >= 2**63 else f for f in fps})
     links = simhash_dedup.links(spark.createDataFrame([(f,) for f in fps], "fp long"), cell=cell).collect()
     assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 64 for r in links)
-    groups = {f: {f} for f in fps}
 
     def join(pairs):
         g = {f: f for f in fps}
@@ -133,7 +132,6 @@ def test_links_join_all_within_the_radius(spark, cell):
             out[top(f)].add(f)
         return {frozenset(x) for x in out.values()}
 
-    del groups
     assert join((r.u, r.v) for r in links) == join((a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
 
 
