@@ -155,7 +155,6 @@ def file_slug(name: Column | str, day: Column | str, extension: str) -> Column:
 
 def register(spark: SparkSession) -> None:
     """SQL functions that Catalyst expands in place: no Python runs in them."""
-    one = {"kg_language": language, "kg_year": year, "kg_trust_stars": trust_stars, "kg_confidence_label": confidence_label}
     sql = {
         "kg_detect_language(t STRING) RETURNS STRING": "CASE WHEN length(regexp_replace(coalesce(t,''), '[^\\\\u0400-\\\\u04ff]', '')) > 0.5 * length(regexp_replace(coalesce(t,''), '[^A-Za-z]', '')) THEN 'ru' ELSE 'en' END",
         "kg_extract_year(t STRING) RETURNS INT": "cast(nullif(regexp_extract(substring(t, 1, 3000), '(20[0-2][0-9]|19[89][0-9])', 1), '') AS INT)",
@@ -163,7 +162,6 @@ def register(spark: SparkSession) -> None:
         "kg_trust_stars(n INT) RETURNS STRING": "concat(repeat('★', greatest(n, 0)), repeat('☆', greatest(5 - greatest(n, 0), 0)))",
         "kg_confidence_label(x DOUBLE) RETURNS STRING": "CASE WHEN coalesce(x, 0.5) >= 0.8 THEN 'высокая' WHEN coalesce(x, 0.5) >= 0.5 THEN 'средняя' ELSE 'низкая' END",
     }
-    del one
     for head, body in sql.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     table = ", ".join(f"'{k}', '{v}'" for k, v in L.DEFAULT.aliases.items())
