@@ -118,7 +118,10 @@ def unit_label(unit: Column | str) -> Column:
 
 
 def _plain(x: Column) -> Column:
-    return F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+    """A number without a fraction of zeros and without an exponent."""
+    v = x.cast("double")
+    far = (F.abs(v) >= 1e7) | (F.abs(v) < 1e-3) & (v != 0)  # written with an exponent otherwise
+    return F.regexp_replace(F.when(far, F.regexp_replace(v.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1")).otherwise(v.cast("string")), r"\.0?$", "")
 
 
 def value_label(low: Column | str, high: Column | str, unit: Column | str) -> Column:

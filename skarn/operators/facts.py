@@ -106,8 +106,10 @@ def compared(facts: DataFrame, axes: list[str], by: str = "process", axis: str =
 
 
 def filter_options(facts: DataFrame, docs: DataFrame, most: int = 200) -> dict[str, DataFrame]:
+    """The values that filters offer; processes only where facts name one."""
     one = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct()
-    return {"years": one(facts, "year").orderBy(F.desc("year")), "geos": one(docs, "geo").orderBy("geo"), "materials": one(facts, "canon").orderBy("canon").limit(most)}
+    out = {"years": one(facts, "year").orderBy(F.desc("year")), "geos": one(docs, "geo").orderBy("geo"), "materials": one(facts, "canon").orderBy("canon").limit(most)}
+    return out | ({"processes": one(facts, "process").orderBy("process").limit(most)} if "process" in facts.columns else {})
 
 
 def subscriptions(log: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def query_facts(node: DataFrame, edge: DataFrame, query: str, per_node: int = 10
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("src").orderBy("rel_type", "dst"))
-    out = edge.join(F.broadcast(named.limit(1000)), F.col("src") == F.col("id")).withColumn("k", rank).where(F.col("k") <= per_node)
+    out = edge.join(named, F.col("src") == F.col("id")).withColumn("k", rank).where(F.col("k") <= per_node)
     line = F.format_string("%s (%s) —%s→ %s [%d]", "canonical", "type", "rel_type", "dst", F.size("source_ids"))
     return out.orderBy(F.when(F.col("type") == "Process", 0).otherwise(1), "src", "k").limit(most).select(line.alias("line"))
 

@@ -436,3 +436,143 @@ def parse_query(spark, sf):
         f = p["filters"]
         rows.append((q, p["intent"], ",".join(f.get("geography", [])), f.get("year_from"), f.get("year_to")))
     return spark.createDataFrame(rows, "query string, intent string, geography string, year_from int, year_to int")
+
+
+@query(f"SELECT id, type, name FROM {_N} WHERE contains(lower(name), 'er#00') ORDER BY id LIMIT 10")
+def autocomplete_nodes(spark, sf):
+    return graph.autocomplete(_star(spark, sf)[0], "er#00").select("id", "type", "name")
+
+
+@query("""
+SELECT 'Process (Process) —has_parameter→ Parameter:' || p || ' [' || n || ']' AS line FROM (
+SELECT l_partkey % 50 AS p, count(DISTINCT l_orderkey) AS n, row_number() OVER (ORDER BY 'Parameter:' || (l_partkey % 50)) AS k FROM lineitem WHERE l_suppkey = 3 GROUP BY l_partkey % 50) WHERE k <= 10""")
+def graph_query_facts(spark, sf):
+    edge = graph.edges(_evidence(spark, sf)[1])
+    node = t(spark, sf, "supplier").select(F.concat(F.lit("Process:"), "s_suppkey").alias("id"), F.lit("Process").alias("type"), F.when(F.col("s_suppkey") == 3, "Process").otherwise("other").alias("canonical"))
+    return graph.query_facts(node, edge, "which process is it?")
+
+
+_FS = "(SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS canon, CAST(contains(event_type, 'click') AS INTEGER) + CAST(contains(event_type, 'purchase') AS INTEGER) + 1 AS score FROM events)"
+
+
+@query(f"SELECT doc_id, canon, score FROM {_FS} ORDER BY score DESC, doc_id, canon LIMIT 8")
+def fact_keyword_search(spark, sf):
+    return search.fact_search(_facts(spark, sf), "click or purchase value").select("doc_id", "canon", "score")
+
+
+@query("SELECT event_id, CASE WHEN regexp_matches(event_type, '^c') THEN 'compare' WHEN regexp_matches(event_type, 'e$') THEN 'experts' ELSE 'search' END AS intent FROM events")
+def intent_routing(spark, sf):
+    return search.route(t(spark, sf, "events").select("event_id", F.col("event_type").alias("query")), [("^c", "compare"), ("e$", "experts")]).select("event_id", "intent")
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, min(distance) AS distance FROM (SELECT CAST(user_id AS VARCHAR) AS doc_id, abs(value - 45) AS distance FROM events WHERE value <= 50 AND value >= 40 ORDER BY 2, 1 LIMIT 50) GROUP BY doc_id),
+b AS (SELECT doc_id, max(score) AS score FROM (SELECT * FROM {_FS} ORDER BY score DESC, doc_id, canon LIMIT 40) GROUP BY doc_id)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(distance, 6) AS distance, score, distance IS NOT NULL AS in_range FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
+def merged_tracks(spark, sf):
+    f = _facts(spark, sf)
+    return search.merged_tracks(search.in_range(f, 40, 50, 50), search.fact_search(f, "click or purchase value", 40)).select("doc_id", F.round("distance", 6).alias("distance"), "score", "in_range")
+
+
+@query(_BM25 + "SELECT id AS doc_id, score FROM hit ORDER BY score DESC, id LIMIT 10")
+def bm25_stored_index(spark, sf):
+    posted = search.postings(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    n = t(spark, sf, "documents").count()
+    # texts without tokens have no postings but count as documents of length 0
+    total = posted.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
+    top = search.bm25_indexed(posted, search.term_stats(posted, n), total / max(n, 1), "the and there", 50)
+    return top.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query("""
+SELECT 'years' AS kind, CAST(2000 + user_id % 20 AS VARCHAR) AS value FROM events WHERE user_id % 3 > 0 GROUP BY ALL UNION ALL SELECT 'materials', event_type FROM events GROUP BY ALL
+UNION ALL SELECT 'geos', CASE user_id % 4 WHEN 0 THEN 'RU' ELSE 'WORLD' END FROM events WHERE user_id % 4 < 2 GROUP BY ALL UNION ALL SELECT 'processes', 'p' || (user_id % 7) FROM events GROUP BY ALL""")
+def filter_options(spark, sf):
+    f = _facts(spark, sf).withColumn("process", F.concat(F.lit("p"), (F.col("doc_id").cast("long") % 7).cast("string")))
+    out = None
+    for kind, values in facts.filter_options(f, _docs(spark, sf)).items():
+        one = values.select(F.lit(kind).alias("kind"), F.col(values.columns[0]).cast("string").alias("value"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("""
+SELECT user_id AS "user", event_type AS query, max(ts) FILTER (event_id % 3 < 2) AS last_seen FROM events GROUP BY user_id, event_type HAVING arg_max(event_id % 3, ts) FILTER (event_id % 3 <> 1) = 0""")
+def subscriptions(spark, sf):
+    k = F.col("event_id") % 3
+    action = F.when(k == 0, "subscribe").when(k == 1, "seen").otherwise("unsubscribe")
+    return facts.subscriptions(t(spark, sf, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("query"), action.alias("action"), F.col("ts").alias("at")))
+
+
+@query(f"""
+WITH u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT 1 FROM ({_VP}) GROUP BY s, p HAVING count(*) >= 2 AND (max(v) - min(v)) / max(v) > 0.3)
+SELECT CAST(count(*) AS BIGINT) AS docs, CAST(count(*) FILTER (user_id % 4 = 0) AS BIGINT) AS ru, CAST(count(*) FILTER (user_id % 4 = 1) AS BIGINT) AS world, CAST(count(*) FILTER (user_id % 4 > 1) AS BIGINT) AS geo_unknown,
+  CAST(count(*) FILTER (user_id % 2 = 0) AS BIGINT) AS docs_with_facts, (SELECT CAST(count(*) AS BIGINT) FROM events WHERE user_id % 2 = 0) AS facts, (SELECT CAST(count(*) AS BIGINT) FROM supplier) AS experts,
+  (SELECT CAST(count(*) AS BIGINT) FROM c) AS contradictions, CAST(count(DISTINCT user_id % 5) AS BIGINT) AS domains, round(count(*) FILTER (user_id % 4 = 0) / count(*), 4) AS ru_share, round(count(*) FILTER (user_id % 4 = 1) / count(*), 4) AS world_share,
+  round(count(*) FILTER (user_id % 2 = 0) / count(*), 4) AS fact_coverage FROM u""")
+def summary_kpi(spark, sf):
+    some = _facts(spark, sf).where(F.col("doc_id").cast("long") % 2 == 0)
+    row = facts.summary(_docs(spark, sf), some, t(spark, sf, "supplier"), graph.contradictions(_evidence(spark, sf)[1]))
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in row.items()))
+
+
+@query("""
+SELECT CASE WHEN user_id % 3 > 0 THEN CAST(2000 + user_id % 20 AS INTEGER) END AS year, CASE user_id % 4 WHEN 0 THEN 'RU' WHEN 1 THEN 'WORLD' END AS geo, CAST(count(*) AS BIGINT) AS facts, CAST(count(DISTINCT user_id) AS INTEGER) AS n_sources,
+  coalesce(max(value) - min(value) <= 0.1 * abs(max(value)), true) AS consensus FROM events GROUP BY 1, 2""")
+def literature_review(spark, sf):
+    return answer.review(_facts(spark, sf).drop("geo"), _docs(spark, sf)).select("year", "geo", "facts", F.size("sources").alias("n_sources"), "consensus")
+
+
+@query("""
+SELECT 'adjacent' AS kind, event_type AS value FROM (SELECT DISTINCT event_type FROM events WHERE user_id % 2 = 1 AND event_type <> 'click' ORDER BY 1 LIMIT 4) UNION ALL SELECT 'expert', 'e' || (user_id % 6) FROM events WHERE user_id % 2 = 1 GROUP BY ALL
+UNION ALL SELECT 'hidden', CAST(count(*) FILTER (user_id % 2 = 0) AS VARCHAR) FROM events UNION ALL SELECT 'facts', CAST(count(*) FILTER (user_id % 2 = 1) AS VARCHAR) FROM events""")
+def assembled_answer(spark, sf):
+    u = t(spark, sf, "events").select("user_id").distinct()
+    experts = u.select(F.concat(F.lit("e"), (F.col("user_id") % 6).cast("string")).alias("name"), F.array(F.col("user_id").cast("string")).alias("doc_ids"))
+    got = answer.assemble(_facts(spark, sf), experts, "external_partner", ["click"])
+    one = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("string").alias("value"))
+    return one("adjacent", got["adjacent"]).union(one("expert", got["experts"])).union(one("hidden", got["hidden"])).union(one("facts", got["facts"].agg(F.count(F.lit(1)))))
+
+
+@query("""
+SELECT p_partkey, CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '–' || (p_size + 1) END || CASE p_partkey % 3 WHEN 0 THEN ' %' WHEN 1 THEN ' мг/л' ELSE ' bar' END AS value,
+  CASE WHEN v >= 1e6 THEN regexp_replace(CAST(round(v / 1e6, 1) AS VARCHAR), '\\.0$', '') || ' млн' WHEN v >= 1e3 THEN regexp_replace(CAST(round(v / 1e3, 1) AS VARCHAR), '\\.0$', '') || ' тыс.'
+    ELSE regexp_replace(CAST(v AS VARCHAR), '\\.0$', '') END AS compact
+FROM (SELECT *, CAST(p_partkey * 1000 + 120 * (p_partkey % 7) + 20 AS DOUBLE) AS v FROM part)""")
+def display_labels(spark, sf):
+    k = F.col("p_partkey")
+    unit = F.when(k % 3 == 0, "percent").when(k % 3 == 1, "mg_per_l").otherwise("bar")
+    return t(spark, sf, "part").select("p_partkey", T.value_label(F.col("p_size"), F.col("p_size") + k % 2, unit).alias("value"), T.compact_number(k * 1000 + 120 * (k % 7) + 20).alias("compact"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'review' ELSE 'report' END AS category, CASE doc_id % 3 WHEN 0 THEN 'scientific_article' WHEN 1 THEN 'review' ELSE 'internal_report' END AS source_type,
+  CASE doc_id % 3 WHEN 0 THEN 5 ELSE 4 END AS trust, printf('%d_%04d', doc_id, doc_id % 12000) AS chunk_id FROM documents""")
+def path_metadata(spark, sf):
+    k = F.col("doc_id")
+    path = F.when(k % 3 == 0, "x/y.PDF").when(k % 3 == 1, "x/Обзоры/Статьи/y.pdf").otherwise("x/y.docx")
+    d = t(spark, sf, "documents").select("doc_id", T.category(path).alias("c"), T.chunk_id(k.cast("string"), k % 12000).alias("chunk_id"))
+    return d.select("doc_id", "c.category", "c.source_type", T.trust(F.col("c.source_type")).alias("trust"), "chunk_id")
+
+
+@query("""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(\\p{L})-\\n(\\p{L})', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) AS md5 FROM documents""")
+def ocr_cleanup(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.ocr_normalised("text").cast("binary")).alias("md5"))
+
+
+@query("SELECT c_custkey, '2024-01-31-' || regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') || '.md' AS name FROM customer")
+def export_names(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", T.file_slug("c_name", F.lit("2024-01-31"), "md").alias("name"))
+
+
+@query("""
+SELECT b AS start, b + INTERVAL 1 HOUR AS "end", event_type AS key, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - s.m AS b FROM events, (VALUES (INTERVAL 0 MINUTE), (INTERVAL 30 MINUTE)) s(m)) GROUP BY 1, 2, 3""")
+def window_sliding(spark, sf):
+    return incremental.tumbling(t(spark, sf, "events"), slide="30 minutes")
+
+
+@query()
+def export_jsonld(spark, sf):
+    return store.json_ld(_facts(spark, sf).orderBy("id").limit(8), "Отчёт")

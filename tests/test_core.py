@@ -33,6 +33,11 @@ def test_scalars(spark):
     assert list(spark.sql("SELECT kg_normalize_term(' Ni '), kg_extract_year('in 1999'), kg_trust_stars(2), kg_tokenize('a Bc dé'), kg_detect_language('Это')").first()) == ["никель", 1999, "★★☆☆☆", ["bc"], "ru"]
 
 
+def test_numbers_are_written_without_exponents(spark):
+    shown = one(spark, *[T.value_label(F.lit(x), F.lit(x), F.lit("percent")) for x in (12345678.5, 1e9, 0.0001, 0.0, 7.25)], T.compact_number(F.lit(2.5e10)), T.compact_number(F.lit(-999.0)))
+    assert [*shown] == ["12345678.5 %", "1000000000 %", "0.0001 %", "0 %", "7.25 %", "25000 млн", "-999"]
+
+
 def test_chunks(spark):
     assert chunking.pieces("") == [] and chunking.pieces("x" * 50) == []
     text = "Sentence number one is here. " * 100
