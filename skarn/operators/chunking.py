@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -65,3 +65,15 @@ def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataF
     return doc.select("doc_id", "n", F.posexplode(flat).alias("idx", "x")).select(
         chunk_id("doc_id", "idx").alias("id"), "doc_id", "idx", F.when(F.col("n") > 1, F.col("x.p") + 1).alias("page"), F.col("x.text").alias("text")
     )
+
+
+class ChunkTable:
+    """Table function of a text: (idx, text) of its chunks."""
+
+    def eval(self, text: str, size: int = 1200, overlap: int = 200) -> Iterator[tuple[int, str]]:
+        yield from enumerate(pieces(text, size, overlap))
+
+
+def register(spark: SparkSession) -> None:
+    """Make kg_chunk(text, size, overlap) known to SQL."""
+    spark.udtf.register("kg_chunk", F.udtf(ChunkTable, returnType="idx int, text string"))

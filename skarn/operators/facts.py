@@ -133,3 +133,33 @@ def audit_tail(log: DataFrame, limit: int = 50, event: str | None = None) -> Dat
 def history(log: DataFrame, limit: int = 8) -> DataFrame:
     """The latest distinct queries."""
     return log.groupBy("query").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "query").limit(limit)
+
+
+def reference_rows(facts: DataFrame, named: list[str], units: list[str] | None = None, max_value: float | None = None, year_from: int | None = None) -> DataFrame:
+    """Rows of a ready-made report: facts whose subject or phase holds one of the names.
+
+    A fact without a value fails a bound on values; one without a year passes a bound on years.
+    """
+    low = F.lower(F.concat_ws(" ", "canon", "phase"))
+    keep = F.exists(F.array(*[F.lit(x.lower()) for x in named]).cast("array<string>"), lambda x: F.contains(low, x))
+    if units:
+        keep &= F.col("unit").isin(units)
+    if max_value is not None:
+        keep &= F.coalesce("value_high", "value_low") <= max_value
+    if year_from is not None:
+        keep &= F.col("year").isNull() | (F.col("year") >= year_from)
+    return facts.where(keep).select(F.col("canon").alias("material"), "phase", "metric", "value_low", "value_high", "unit", "quote", "doc_id", "year")
+
+
+def desalination(facts: DataFrame, max_sulfate: float = 300) -> DataFrame:
+    """Sulfate contents up to a bound in mg/l."""
+    return reference_rows(facts, ["сульфат", "sulfate"], ["mg_per_l", "mg_l", "мг/л", "mg/l"], max_sulfate)
+
+
+def catholyte(facts: DataFrame) -> DataFrame:
+    return reference_rows(facts, ["католит", "catholyte"])
+
+
+def precious_metals(facts: DataFrame, now: int, years: int = 5) -> DataFrame:
+    """Gold, silver and platinum metals over the years before ``now``, this year's included."""
+    return reference_rows(facts, ["золот", "gold", "серебр", "silver", "платин", "platinum", "паллади", "palladium", "мпг", "pgm"], year_from=now - years)

@@ -576,3 +576,16 @@ def window_sliding(spark, sf):
 @query()
 def export_jsonld(spark, sf):
     return store.json_ld(_facts(spark, sf).orderBy("id").limit(8), "Отчёт")
+
+
+@query("""
+SELECT event_type AS material, value AS value_low, CAST(user_id AS VARCHAR) AS doc_id, CASE WHEN user_id % 3 > 0 THEN CAST(2000 + user_id % 20 AS INTEGER) END AS year FROM events
+WHERE regexp_matches(event_type, 'click|view') AND value <= 50 AND (user_id % 3 = 0 OR 2000 + user_id % 20 >= 2010)""")
+def reference_rows(spark, sf):
+    return facts.reference_rows(_facts(spark, sf), ["Click", "view"], ["x"], 50, 2010).select("material", "value_low", "doc_id", "year")
+
+
+@query()
+def chunk_table(spark, sf):
+    chunking.register(spark)
+    return spark.sql("SELECT d.doc_id, c.idx, c.text FROM {d} AS d, LATERAL kg_chunk(d.text, 1200, 200) AS c", d=t(spark, sf, "documents"))

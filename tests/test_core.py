@@ -149,6 +149,27 @@ def test_facts(spark):
     assert (s["docs"], s["ru"], s["facts"], s["domains"], s["fact_coverage"], s["experts"]) == (2, 1, 3, 2, 1.0, 3)
 
 
+def test_reports(spark):
+    cols = "canon string, phase string, metric string, value_low double, value_high double, unit string, quote string, doc_id string, year int"
+    rows = [
+        ("Сульфаты", None, "содержание", 200.0, 300.0, "мг/л", None, "a", 2020), ("сульфат", None, None, 250.0, 301.0, "мг/л", None, "b", 2020), ("sulfate", None, None, 2.0, 2.0, "g_per_l", None, "c", None), ("sulfate", None, None, None, None, "mg_per_l", None, "d", None),
+        ("никель", "католит", None, 70.0, None, "г/л", None, "e", 1999), ("золото", "шлак", None, 2.77, 2.77, "g_t", None, "f", None), ("Платина", "штейн", None, 1.0, 1.0, "g_t", None, "g", 2019), ("серебро", None, None, 1.0, 1.0, "g_t", None, "h", 2018), (None, None, None, None, None, None, None, None, None),
+    ]
+    f = spark.createDataFrame(rows, cols)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(facts.desalination(f)) == ["a"] and ids(facts.desalination(f, 301)) == ["a", "b"]
+    assert ids(facts.catholyte(f)) == ["e"] and ids(facts.precious_metals(f, 2024)) == ["f", "g"]
+    assert facts.reference_rows(f, []).count() == 0 and facts.catholyte(f.limit(0)).count() == 0
+
+
+def test_chunks_as_a_table_function(spark):
+    chunking.register(spark)
+    text = "A sentence of some words. " * 120
+    rows = spark.sql(f"SELECT * FROM kg_chunk('{text}', 1200, 200)")
+    assert [tuple(r) for r in rows.collect()] == list(enumerate(chunking.pieces(text)))
+    assert spark.sql("SELECT * FROM kg_chunk(CAST(NULL AS STRING))").collect() == []
+
+
 def test_files(spark, tmp_path):
     body = "Никель содержится в руде 2021 года. " * 10
     (tmp_path / "Обзоры").mkdir()
