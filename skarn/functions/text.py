@@ -117,7 +117,7 @@ def unit_label(unit: Column | str) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(_c(unit), F.lit(""))), _c(unit))
 
 
-def _plain(x: Column) -> Column:
+def plain_number(x: Column) -> Column:
     """A number without a fraction of zeros and without an exponent."""
     v = x.cast("double")
     far = (F.abs(v) >= 1e7) | (F.abs(v) < 1e-3) & (v != 0)  # written with an exponent otherwise
@@ -126,13 +126,13 @@ def _plain(x: Column) -> Column:
 
 def value_label(low: Column | str, high: Column | str, unit: Column | str) -> Column:
     lo, hi = _c(low), F.coalesce(_c(high), _c(low))
-    body = F.when(lo == hi, _plain(lo)).otherwise(F.concat(_plain(lo), F.lit("–"), _plain(hi)))
+    body = F.when(lo == hi, plain_number(lo)).otherwise(F.concat(plain_number(lo), F.lit("–"), plain_number(hi)))
     return F.concat_ws(" ", body, unit_label(unit))
 
 
 def compact_number(n: Column | str) -> Column:
     v = _c(n).cast("double")
-    return F.when(F.abs(v) >= 1e6, F.concat(_plain(F.round(v / 1e6, 1)), F.lit(" млн"))).when(F.abs(v) >= 1e3, F.concat(_plain(F.round(v / 1e3, 1)), F.lit(" тыс."))).otherwise(_plain(v))
+    return F.when(F.abs(v) >= 1e6, F.concat(plain_number(F.round(v / 1e6, 1)), F.lit(" млн"))).when(F.abs(v) >= 1e3, F.concat(plain_number(F.round(v / 1e3, 1)), F.lit(" тыс."))).otherwise(plain_number(v))
 
 
 def ocr_normalised(text: Column | str) -> Column:

@@ -422,7 +422,10 @@ def window_session(spark, sf):
     return incremental.sessions(t(spark, sf, "events"))
 
 
-@query()
+@query("""
+SELECT '# Отчёт' || chr(10) || chr(10) || 'Ответ' || chr(10) || chr(10) || string_agg(k || '. ' || line, chr(10) ORDER BY k) AS text
+FROM (SELECT line, row_number() OVER (ORDER BY doc_id, event_type, line) AS k FROM (
+SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type, event_type || ' · value: ' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ' · ' AS line FROM events ORDER BY event_id LIMIT 8))""")
 def export_markdown(spark, sf):
     return store.markdown(_facts(spark, sf).orderBy("id").limit(8), "Отчёт", "Ответ")
 

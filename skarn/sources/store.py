@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions.text import plain_number
+
 TABLES = ("documents", "chunks", "nodes", "edges", "edge_evidence", "node_evidence", "postings", "term_stats", "embeddings", "facts")
 
 
@@ -37,13 +39,9 @@ def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return df.select(F.inline("nodes")), df.select(F.inline("links")).withColumnsRenamed({"source": "src", "target": "dst"})
 
 
-def _plain(c: str) -> Column:
-    return F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
-
-
 def markdown(facts: DataFrame, title: str, answer: str) -> DataFrame:
     """(text): heading, answer and numbered facts, in the order of doc_id and canon."""
-    value = F.when(F.col("value_high").isNull() | (F.col("value_low") == F.col("value_high")), _plain("value_low")).otherwise(F.concat(_plain("value_low"), F.lit("–"), _plain("value_high")))
+    value = F.when(F.col("value_high").isNull() | (F.col("value_low") == F.col("value_high")), plain_number(F.col("value_low"))).otherwise(F.concat(plain_number(F.col("value_low")), F.lit("–"), plain_number(F.col("value_high"))))
     line = F.concat(F.col("canon"), F.lit(" · "), F.coalesce("metric", F.lit("")), F.lit(": "), F.coalesce(value, F.lit("")), F.lit(" · "), F.coalesce("quote", F.lit("")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "canon", line.alias("line")))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x.line))
     return facts.agg(F.concat_ws("\n", F.lit(f"# {title}"), F.lit(""), F.lit(answer), F.lit(""), F.array_join(lines, "\n")).alias("text"))
