@@ -84,9 +84,12 @@ def term_normalisation(spark, sf):
     return t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), T.normalize_term(raw).alias("canonical"))
 
 
-@query()
+@query("""
+SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(substr(text, 1, 1500), chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '')[1:5],
+  lambda x: CASE WHEN length(x) < 300 THEN list_concat(regexp_extract_all(x, '[А-ЯЁ][а-яё]+\\s+[А-ЯЁ]\\.?(?:\\s*[А-ЯЁ]\\.?)?')[1:10], regexp_extract_all(x, '[A-Z][a-z]+\\s+[A-Z]\\.?(?:\\s*[A-Z]\\.?)?')[1:10]) ELSE [] END),
+  lambda a: len(a) > 0)[1][1:10], '|'), '') AS authors FROM documents""")
 def authors(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", T.authors("text").alias("authors"))
+    return t(spark, sf, "documents").select("doc_id", F.array_join(T.authors("text"), "|").alias("authors"))
 
 
 @query()
