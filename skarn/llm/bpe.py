@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,9 @@ class Vocabulary:
         self.parts: dict[bytes, list[int]] = {}
 
     def merged(self, parts: list[bytes]) -> list[int]:
-        """Plain BPE of a few parts: the pair of lowest rank, leftmost first, merges until none can."""
+        """Plain BPE: the pair of lowest rank, leftmost first, merges until none can."""
+        if len(parts) > 256:
+            return self.merged_by_heap(parts)
         rank = self.rank
         none = len(self.token)
         costs = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -62,6 +65,30 @@ class Vocabulary:
                 costs[k] = rank.get(parts[k] + parts[k + 1], none)
         return [rank[x] for x in parts]
 
+    def merged_by_heap(self, parts: list[bytes]) -> list[int]:
+        """The same for many parts, in n log n steps: a window that never settles (a run of one letter) grows long."""
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        cost = [rank.get(a + b) for a, b in zip(parts, parts[1:])] + [None]  # of each part with the next one
+        heap = [(c, k) for k, c in enumerate(cost) if c is not None]
+        heapify(heap)
+        while heap:
+            c, k = heappop(heap)
+            if cost[k] != c:  # one of the two has merged meanwhile
+                continue
+            gone = after[k]
+            parts[k] += parts[gone]
+            cost[gone], parts[gone] = None, b""
+            after[k] = end = after[gone]
+            if end < n:
+                before[end] = k
+            for left, right in ((before[k], k), (k, end)):
+                if left >= 0:
+                    cost[left] = c = rank.get(parts[left] + parts[right]) if right < n else None
+                    if c is not None:
+                        heappush(heap, (c, left))
+        return [rank[x] for x in parts if x]
+
     def from_bytes(self, raw: bytes) -> list[int]:
         return self.merged([raw[k : k + 1] for k in range(len(raw))])
 
@@ -155,6 +182,8 @@ class Coder:
         """The ids of text[low:high]."""
         if high - low <= self.leaf:
             return self.core(text[low:high])
+        if self.cut_before(text, low, high) == low:  # no cut at all: every window would be the whole
+            return self.short(text[low:high])
         mid = (low + high) // 2
         left, right = self.part(text, low, mid), self.part(text, mid, high)
         a, b = self.cut_before(text, low, mid), self.cut_after(text, mid, high)

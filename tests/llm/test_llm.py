@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,6 +176,27 @@ def test_byte_tree_equals_plain_merging(coder):
         assert coder.words.encode(raw) == coder.words.from_bytes(raw)
 
 
+def test_long_merging_equals_short_merging(coder):
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 300, 700):
+        for letters in (b"x", b"xxxe 0ab", "xé日 ".encode()):
+            raw = bytes(rng.choice(list(letters), size).tolist())
+            parts = [raw[k : k + 1] for k in range(size)]
+            plain, rank = list(parts), coder.words.rank
+            while near := [(rank[a + b], k) for k, (a, b) in enumerate(zip(plain, plain[1:])) if a + b in rank]:
+                k = min(near)[1]
+                plain[k : k + 2] = [plain[k] + plain[k + 1]]
+            assert coder.words.merged_by_heap(parts) == [rank[x] for x in plain]
+
+
+def test_one_letter_repeated_stays_fast(coder, library):
+    text = "one two " + "x" * 20_000 + " three"
+    began = time.process_time()
+    ids = np.frombuffer(coder.encode(text), "<u4").tolist()
+    assert time.process_time() - began < 20
+    assert ids == library.encode_ordinary(text)
+
+
 def test_bpe_digests(spark, library, texts):
     got = {r.doc_id: r for r in queries.op4_byte_bpe(spark, SMALL).collect()}
     for i, text in texts:
