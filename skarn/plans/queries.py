@@ -99,6 +99,12 @@ def chunks(spark, sf):
 
 # --- search ---
 
+
+def _term_index(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.term_stats(search.postings(d), d.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 _BM25 = """
 WITH tok AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 1) AS l FROM documents),
 q AS (SELECT * FROM (VALUES ('the'), ('and'), ('there')) v(term)), s AS (SELECT count(*) AS n, greatest(avg(len(l)), 1) AS a FROM tok),
@@ -118,8 +124,12 @@ def bm25_topk(spark, sf):
 SELECT term, CAST(count(*) AS BIGINT) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf
 FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 1)) AS term FROM documents) GROUP BY term HAVING count(*) >= 5""")
 def term_index(spark, sf):
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.term_stats(search.postings(d), d.count()).where("df >= 5").select("term", "df", F.round("idf", 6).alias("idf"))
+    return _term_index(spark, sf).where("df >= 5")  # as its SQL has it; term_index_all has every term
+
+
+@query()
+def term_index_all(spark, sf):
+    return _term_index(spark, sf)
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"

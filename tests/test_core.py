@@ -2,7 +2,9 @@
 
 import io
 import math
+import re
 import zipfile
+from collections import Counter
 
 import duckdb
 import pytest
@@ -231,5 +233,13 @@ def test_queries_equal_their_sql(spark, sf, duck, name):
         assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_every_term_is_in_the_whole_index(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = Counter(w for x in texts for w in {w for w in re.findall("[а-яёa-z0-9]+", (x or "").lower()) if len(w) > 1})
+    got = {r.term: (r.df, r.idf) for r in QUERIES["term_index_all"](spark, sf).collect()}
+    assert min(df.values()) < 5 and {w: n for w, (n, _) in got.items()} == dict(df)
+    assert all(abs(got[w][1] - math.log((len(texts) - n + 0.5) / (n + 0.5) + 1)) < 1e-6 for w, n in df.items())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
