@@ -1,7 +1,10 @@
 """License texts in documents: base phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of the text; a template matches it if the block holds at least the share
-``threshold`` of the template's distinct words. Template words are ordered by how many documents hold
+A block is a line of the text, or a run of words over line ends that is at most 1 / ``threshold`` times as
+long as the template (so that wrapped notices are found, and words scattered over a long text are not);
+a template matches it if the block holds at least the share ``threshold`` of the template's distinct words.
+Runs are looked at only in texts of several lines that hold enough of a template's words anywhere.
+For lines, template words are ordered by how many documents hold
 them, rarest first: a block that lacks the first |T| - ceil(threshold |T|) + 1 of them cannot match
 (prefix filter); one with fewer template words than needed cannot (length filter); and once the place
 of the first shared prefix word is known, the words after it must still suffice (positional filter).
@@ -54,11 +57,16 @@ def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, places, blocks), written once.
+def _need(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
 
-    places: (start, label) of each phrase; blocks: for each line the template words it holds, where
-    they are as many as the smallest template needs at least.
+
+def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(row, doc_id, n_words, places, wrapped, blocks), written once.
+
+    places: (start, label) of each phrase; wrapped: (label, score) of each template that some run of words
+    of a text of several lines meets; blocks: for each line the template words it holds, where they are as
+    many as the smallest template needs at least.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates are broadcast")
@@ -66,6 +74,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     least = min(2, *(len(set(_words(t))) for _, t in templates))
     vocabulary = F.split(F.lit(" ".join(known)), " ")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    kinds = []
+    for label, template in templates:
+        words = sorted(set(_words(template)))
+        span = math.ceil(len(_words(template)) / threshold - 1e-9)
+        kinds.append(F.struct(F.lit(label).alias("label"), F.split(F.lit(" ".join(words)), " ").alias("words"), F.lit(_need(len(words), threshold)).alias("need"), F.lit(span).alias("span")))
+
+    def wrapped(w: Column) -> Column:
+        def best(t: Column) -> Column:
+            hits = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("w"))), lambda h: F.array_contains(t.words, h.w))
+
+            def most(h: Column) -> Column:  # a run starts at a template word and has at most span of them
+                run = lambda x, k: F.filter(F.slice(h, k + 1, t.span), lambda y: y.at < x.at + t.span)
+                return F.array_max(F.transform(h, lambda x, k: F.size(F.array_distinct(F.transform(run(x, k), lambda y: y.w)))))
+
+            return let(let(hits, most), lambda n: F.struct(t.label.alias("label"), (n / F.size(t.words)).alias("score"), (n >= t.need).alias("met")))
+
+        some = let(F.array_intersect(w, vocabulary), lambda held: F.filter(F.array(*kinds), lambda t: F.size(F.array_intersect(t.words, held)) >= t.need))
+        met = F.filter(F.transform(some, best), lambda x: x.met)
+        return F.transform(met, lambda x: F.struct(x.label.alias("label"), x.score.alias("score")))
 
     def found(w: Column) -> Column:
         def here(i: Column) -> Column:
@@ -84,11 +111,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
             one = F.contains(line, F.lit(f" {phrase} "))
             some = one if some is None else some | one
         at = F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 1), here), lambda x: x.label.isNotNull())
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(some, at).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(some, at).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"), F.when(F.contains(text, F.lit("\n")), wrapped(w)).alias("wrapped"))
 
     blocks = F.filter(F.transform(F.split(text, "\n"), lambda x: F.array_intersect(F.split(F.lower(x), SEPARATORS), vocabulary)), lambda b: F.size(b) >= least)
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), let(tokens(text), found).alias("f"), blocks.alias("blocks"))
-    return materialise(df.select("row", "doc_id", "f.n_words", "f.places", "blocks"), "scanned")
+    return materialise(df.select("row", "doc_id", "f.n_words", "f.places", "f.wrapped", "blocks"), "scanned")
 
 
 def ordered(spark: SparkSession, scanned: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -101,7 +128,7 @@ def ordered(spark: SparkSession, scanned: DataFrame, templates=TEMPLATES, thresh
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(set(_words(text)), key=lambda w: (often.get(w, 0), w))
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = _need(len(words), threshold)
         rows += [(k, label, words, need, w, p) for p, w in enumerate(words[: len(words) - need + 1])]
     return spark.createDataFrame(rows, "template int, label string, words array<string>, need int, prefix string, place int")
 
@@ -122,8 +149,9 @@ def matches(scanned: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base places and labels, all labels and the best score of every row of docs."""
-    scanned = scan(docs, templates, phrases, id_col, text_col)
-    joined = matches(scanned, ordered(docs.sparkSession, scanned, templates, threshold))
+    scanned = scan(docs, templates, phrases, id_col, text_col, threshold)
+    lines = matches(scanned, ordered(docs.sparkSession, scanned, templates, threshold))
+    joined = lines.unionByName(scanned.select("row", F.inline("wrapped")))
     by_row = joined.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     base = F.sort_array(F.array_distinct(F.transform("places", lambda p: p.label)))
     start = F.transform("places", lambda p: p.start)

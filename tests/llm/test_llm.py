@@ -345,6 +345,15 @@ def test_licenses_against_brute_force(spark, texts, odd):
         assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in got) == Counter((i, *plain_license(t)) for i, t in rows)
 
 
+def test_wrapped_licenses_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that"
+    far = "all of it\n" + "word word word\n" * 9 + "rights of way\n" + "word word\n" * 9 + "reserved"
+    texts = [mit, bsd, mit.replace(" ", "\n"), f"one\ntwo {bsd}\n\n{mit}\nthree", far]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("bsd,mit", 1.0), 4: ("", 0.0)}
+
+
 @pytest.mark.parametrize("module", [quality_rules, license_scan])
 def test_native_operators_run_no_python(spark, module):
     plans = []
