@@ -1,10 +1,12 @@
 """Credentials in text, told from examples by how widely each is copied.
 
 A scan finds candidates of fixed kinds in each text and, beyond them, opaque tokens that mix letters
-and digits. Each candidate value is hashed; over the whole corpus the distinct repositories and owners
-that hold a hash are counted (in two aggregations, so that a hash in a third of all rows is summed
-before it is shuffled). A hash of one owner is live-looking, one of many owners an example. Candidates
-beyond the fixed kinds count as secrets only if live-looking.
+and digits. Each candidate value is hashed; over the whole corpus the distinct repositories, owners and
+texts that hold a hash are counted (summed before they are shuffled). A hash is an example only if it is
+widely held: by more than MAX_OWNERS owners, or by several owners in at least WIDE repositories and WIDE
+different texts, so that copies of one document under a few owners leave its keys live-looking. A hash of
+one owner is live-looking however often that owner repeats it. Candidates beyond the fixed kinds count as
+secrets only if live-looking.
 
 Defined results: null and empty texts have no spans; candidates under one owner that is null count as
 one owner; repeated rows each get a row; an empty table gives an empty result.
@@ -27,6 +29,8 @@ from skarn.llm.common import arrow_map, materialise
 BASE = ("assign", "access", "hex")
 MORE = ("github", "slack", "jwt", "key_block", "opaque")
 KINDS = BASE + MORE
+#: A value of more owners than this is an example; one of fewer owners (two at least) only if so many repositories and texts hold it.
+MAX_OWNERS, WIDE = 4, 5
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -69,7 +73,7 @@ def candidates(text: str, least_entropy: float = 3.0) -> list[tuple[str, int, in
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, repository, owner, found): every candidate of each text, with the hash of its value.
+    """(row, doc_id, repository, owner, digest, found): every candidate of each text, with the hash of its value; digest is that of the text.
 
     owner and repository default to the column source, and source with lang, where docs has them.
     """
@@ -82,26 +86,25 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
             [{"kind": k, "start": a, "end": b, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32]} for k, a, b, v in candidates(x or "")]
             for x in batch.column("text").to_pylist()
         ]
-        return {n: batch.column(n) for n in ("doc_id", "repository", "owner")} | {"found": found}
+        return {n: batch.column(n) for n in ("doc_id", "repository", "owner", "digest")} | {"found": found}
 
     kind = dict(docs.dtypes)[id_col]
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(repository.cast("string"), none).alias("repository"), F.coalesce(owner.cast("string"), none).alias("owner"), F.col(text_col).alias("text"))
-    out = arrow_map(df, run, f"doc_id {kind}, repository string, owner string, found array<struct<kind:string,start:long,end:long,hash:string>>")
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(repository.cast("string"), none).alias("repository"), F.coalesce(owner.cast("string"), none).alias("owner"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    out = arrow_map(df, run, f"doc_id {kind}, repository string, owner string, digest long, found array<struct<kind:string,start:long,end:long,hash:string>>")
     return materialise(out.select(F.monotonically_increasing_id().alias("row"), "*"), "candidates")
 
 
-def ownership(scanned: DataFrame, max_owners: int = 1) -> DataFrame:
-    """(hash, n_found, n_repositories, n_owners, live): how widely each candidate value is held."""
-    each = scanned.select("repository", "owner", F.explode("found.hash").alias("hash"))
-    return (
-        each.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("r"))
-        .groupBy("hash").agg(F.sum("n").alias("n_found"), F.sum("r").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-        .withColumn("live", F.col("n_owners") <= max_owners)
-    )
+def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(hash, n_found, n_repositories, n_owners, n_texts, live): how widely each candidate value is held."""
+    each = scanned.select("repository", "owner", "digest", F.explode("found.hash").alias("hash"))
+    held = each.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("n_found"), F.count_distinct("owner", "repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("digest").alias("n_texts")
+    )
+    example = (F.col("n_owners") > max_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= WIDE) & (F.col("n_texts") >= WIDE))
+    return held.withColumn("live", ~example)
 
 
-def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) for each row: its spans, each with kind, start, end, n_owners and live.
 
     Kinds of BASE always stay, live or not; the others stay only if live.
@@ -130,7 +133,7 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, max_owners: int = 1) -> DataFrame:
+def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with live-looking secrets replaced in text by a mark of their kind; all rows and columns stay.
 
     Rows are scanned with their text and judged against the corpus-wide ownership table.

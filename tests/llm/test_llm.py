@@ -235,6 +235,16 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert text[9] == "key <OPAQUE> there" and text[0] == f"key {shared} here"
 
 
+def test_copies_under_a_few_owners_leave_keys_live(spark):
+    copied, wide, repeated = "Zx9kQ7tV2mB8nL4pR6wY1", "Ab3dE5fG7hJ9kL1mN2pQ4", "Qr5sT7uV9wX1yZ3aB5cD7"
+    rows = [(k, f"key {copied} here", "en", f"s{k}", 0) for k in range(3)] + [(10 + k, f"key {wide} no {k}", f"l{k // 2}", f"s{k % 2}", 0) for k in range(6)]
+    rows += [(20 + k, f"key {repeated} no {k}", f"l{k}", "s1", 0) for k in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: [f.live for f in r.found] for r in secrets.secrets(docs).collect()}
+    assert all(got[k] == [True] for k in (*range(3), *range(20, 26))) and not any(got[k] for k in range(10, 16))
+    assert {r.text for r in secrets.redacted(docs).collect() if r.doc_id < 3} == {"key <OPAQUE> here"}
+
+
 # --- language model ---
 
 
