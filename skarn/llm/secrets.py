@@ -136,15 +136,17 @@ def digests(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with live-looking secrets replaced in text by a mark of their kind; all rows and columns stay.
 
-    Rows are scanned with their text and judged against the corpus-wide ownership table.
+    Rows are scanned with their text and judged against the corpus-wide ownership table. Marks come back by
+    id and text, so rows without an id, and rows that share one, get the marks of their own text.
     """
     mark = "_live"
-    while mark in docs.columns:
+    while any(c.lower().startswith(mark) for c in docs.columns):
         mark = f"_{mark}"
+    of_id, of_text = f"{mark}_id", f"{mark}_text"
     scanned = scan(docs)
     live = ownership(scanned, max_owners).where("live").select("hash")
-    hot = scanned.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.hash").alias("hash"))
-    marked = hot.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias(mark))
+    hot = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text), F.explode("found.hash").alias("hash"))
+    marked = hot.join(live, "hash").groupBy(of_id, of_text).agg(F.collect_set("hash").alias(mark))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -159,5 +161,6 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
                 texts[k] = text
         return {n: batch.column(n) for n in names} | {"text": texts}
 
-    joined = docs.join(marked.hint("merge"), "doc_id", "left")  # marks grow with the input: never broadcast
+    same = docs["doc_id"].eqNullSafe(F.col(of_id)) & (F.xxhash64(docs["text"]) == F.col(of_text))
+    joined = docs.join(marked.hint("merge"), same, "left")  # marks grow with the input: never broadcast
     return arrow_map(joined.select(*names, mark), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

@@ -245,6 +245,13 @@ def test_copies_under_a_few_owners_leave_keys_live(spark):
     assert {r.text for r in secrets.redacted(docs).collect() if r.doc_id < 3} == {"key <OPAQUE> here"}
 
 
+def test_rows_without_an_id_are_redacted(spark):
+    key = "Zx9kQ7tV2mB8nL4pR6wY1"
+    rows = [(None, f"key {key} here", "en", "s", 0), (None, "no key", "en", "s", 0), (None, None, "en", "s", 0), (1, f"a {key}", "en", "s", 0), (1, "b", "en", "s", 0)]
+    got = Counter((r.doc_id, r.text) for r in secrets.redacted(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == Counter({(None, "key <OPAQUE> here"): 1, (None, "no key"): 1, (None, None): 1, (1, "a <OPAQUE>"): 1, (1, "b"): 1})
+
+
 # --- language model ---
 
 
