@@ -7,9 +7,10 @@ plane; a query's distances to all 64 are updated plane by plane in carry-save co
 abandoned once all its distances exceed the radius. A bucket larger than ``cell`` is cut into a grid
 of cells by hash, each pair of cells a task of its own, so that no task holds an unbounded bucket.
 
-Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows each
-get a row; a null id never names a component unless all its rows have null ids; an empty table gives
-an empty result; extra columns of the input are ignored.
+Defined results: null and empty texts have fingerprint 0 and link like any other; texts of any length
+are hashed whole, in memory that grows with the one text; repeated rows each get a row; a null id never
+names a component unless all its rows have null ids; an empty table gives an empty result; extra columns
+of the input are ignored, whatever their names. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_map, components, materialise, raw_texts, ship
+from skarn.llm.common import arrow_map, components, discard, materialise, meet, raw_texts, ship
 
 BLOCKS = 6
 #: For each byte value: its eight bits (most significant first) as the eight bytes of a word.
@@ -51,13 +52,14 @@ def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, digest): fp is the fingerprint as a signed long, digest a hash of the text that tells rows of one id apart."""
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(x, width) for x in raw_texts(batch)], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64), "digest": batch.column("digest")}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    return arrow_map(slim, run, f"doc_id {dict(docs.dtypes)[id_col]}, fp long, digest long")
 
 
 def masks(blocks: int = BLOCKS, agree: int = 2) -> list[int]:
@@ -181,16 +183,20 @@ def _link_partition(radius: int):
     return run
 
 
-def links(classes: DataFrame, radius: int = 4, cell: int = 4096) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that join all that are within the radius."""
+def buckets(classes: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, i, k, n): each fingerprint in every bucket that it shares with another one; n: the bucket's size. Written once."""
     if not 0 <= radius <= BLOCKS - 2:
         raise ValueError(f"two of {BLOCKS} blocks agree only up to radius {BLOCKS - 2}")
-    ship(classes.sparkSession)
     keyed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks())])).alias("b")).select(
         "fp", "b.i", "b.k"
     )
     sizes = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(keyed.join(sizes, ["i", "k"]), "buckets")
+    return materialise(keyed.join(sizes, ["i", "k"]), "buckets")
+
+
+def linked(met: DataFrame, radius: int = 4, cell: int = 4096) -> DataFrame:
+    """Links (u, v) that join all fingerprints of buckets() within the radius."""
+    ship(met.sparkSession)
     small = met.where(F.col("n") <= cell).select("fp", F.xxhash64("i", "k", F.lit(0), F.lit(0)).alias("run"))
     # cells of a large bucket: each member goes once to every pair of cells that holds its own
     parts = F.ceil(F.col("n") / cell).cast("long")
@@ -200,31 +206,55 @@ def links(classes: DataFrame, radius: int = 4, cell: int = 4096) -> DataFrame:
         .select("fp", "i", "k", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
         .select("fp", F.xxhash64("i", "k", F.least("own", "other") + 1, F.greatest("own", "other") + 1).alias("run"))
     )
-    n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = small.union(large).repartition(n, "run").sortWithinPartitions("run", "fp")
     return dealt.mapInArrow(_link_partition(radius), "u long, v long").distinct()
 
 
+def links(classes: DataFrame, radius: int = 4, cell: int = 4096) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp) that join all that are within the radius."""
+    return linked(buckets(classes, radius), radius, cell)
+
+
+def grouped(fps: DataFrame, radius: int, cell: int) -> DataFrame:
+    """(fp, root, n) of each distinct fingerprint of fingerprints(): its component and how many rows hold it. Written once."""
+    classes = materialise(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "classes")
+    met = buckets(classes.select("fp"), radius)
+    nodes = components(linked(met, radius, cell))
+    out = materialise(classes.join(nodes, classes.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "n"), "roots")
+    discard(classes, met)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, cell: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = materialise(classes, "classes")
-    nodes = components(links(classes.select("fp"), radius, cell))
-    named = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    roots = grouped(fps, radius, cell)
+    rows, classes = roots.agg(F.sum("n"), F.count(F.lit(1))).first()
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").select("fp", "root", "least", F.col("n").alias("rows"))
+    lowest = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_class = materialise(meet(least.select("fp", "root", "rows"), lowest, "root", classes).select("fp", "component_id", F.col("rows").alias("n")), "lowest")
+    return meet(fps.select("doc_id", "fp"), by_class, "fp", rows or 0).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4, cell: int = 4096) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest id, with all columns.
+    """One row of each group of near duplicates, with all columns: that of the smallest id, rows without an id last.
 
-    Rows without an id can't be told apart and stay.
+    Rows are told apart by id and text, so ids may repeat or lack: of rows of one id the one of the smallest
+    text hash stays, and of rows equal in both any one.
     """
-    named = near_duplicates(docs.where("doc_id IS NOT NULL"), width=width, radius=radius, cell=cell)
-    kept = materialise(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    one = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")  # the ids kept grow with the input: never broadcast
-    if kept.where("n > 1").limit(1).count():  # ids that repeat
-        one = one.dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    own = "_text"
+    while own in {c.lower() for c in docs.columns}:
+        own = f"_{own}"
+    fps = materialise(fingerprints(docs, width=width), "fingerprints")
+    roots = grouped(fps, radius, cell)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    kept = fps.groupBy("fp").agg(F.min(first).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    kept = materialise(kept.select(F.col("o.doc_id").alias("doc_id"), F.col("o.digest").alias("digest")), "kept")
+    again = fps.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[own] == b["digest"])
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    twice = bool(kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]) & (kept["digest"] == again["digest"]), "left_semi").limit(1).count())
+    discard(fps, roots)
+    one = hashed.join(kept.hint("merge"), same(hashed, kept), "left_semi")  # the rows kept grow with the input: never broadcast
+    return (one.dropDuplicates(["doc_id", own]) if twice else one).select(docs.columns)
