@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm import bpe, decontaminate, language_model, license_scan, quality_qda, quality_rules, secrets, simhash_dedup, toxicity, warc
-from skarn.llm.common import crc_mod
+from skarn.llm.common import crc_mod, remove
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -68,7 +68,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.digests(warc.captures(warc.read_records(spark, path)))
+    out = warc.digests(warc.captures(warc.read_records(spark, path)))
+    remove(spark, path)  # digests() has written what it needs of the archives
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

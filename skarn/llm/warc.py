@@ -4,28 +4,33 @@ Every capture has a response (or revisit), a request and a metadata record; the
 first by WARC-Concurrent-To. Reading parses whole archive files by Content-Length, joins the records
 of a capture and yields one nested row for each. Each record ends in two line breaks, which is the
 line separator that Spark's text writer puts after each row, so archives are written by executors
-wherever Spark can write. An archive file holds one writer task's records, FILE_RECORDS at most.
+wherever Spark can write. An archive file holds one writer task's records, about FILE_BYTES of payload
+at most (or one page). Reading inflates and parses a file as a stream, so beside the compressed file it
+holds one record at a time; files of one gzip member and of a member for each record are read alike.
+What is joined after reading carries digests and lengths, not payloads, unless the caller asks for them.
 
 Defined results: a null payload is empty; repeated page rows are captures of their own; of equal
 payloads the row with the largest page_id is the response (ties: the later row); null ids come first;
-an empty table gives an empty archive and an empty result.
+payloads of any length are kept whole; an empty table gives an empty archive and an empty result; extra
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import materialise, shared_dir, ship
+from skarn.llm.common import discard, materialise, shared_dir, ship
 
 CRLF = "\r\n"
 RECORD = "record_id string, concurrent_to string, refers_to string, kind string, uri string, digest string, headers map<string,string>, payload binary"
-#: Records in an archive file at most.
-FILE_RECORDS = 6000
+#: Payload bytes that an archive file holds, about, and its pages at most.
+FILE_BYTES, FILE_PAGES = 128 << 20, 2000
 
 
 def _urn(key: Column) -> Column:
@@ -40,15 +45,19 @@ def _record(kind: str, record_id: Column, uri: Column, content_type: str, block:
     return F.concat(F.concat_ws(CRLF, *head, *more, F.lit(f"Content-Type: {content_type}"), length), F.lit(CRLF + CRLF), block)
 
 
-def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(row, page_id, url, html, digest, size, original): original is the response's row for revisits, else null.
+def numbered(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, html, digest, size) of the pages, written once so that row numbers hold."""
+    html = F.coalesce("html", F.lit(""))
+    base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    return materialise(base.select(F.monotonically_increasing_id().alias("row"), "*"), "pages", "zstd")
+
+
+def plan(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """The rows of numbered() with original: the response's row for revisits, else null.
 
     A payload held by many rows is decided by a partial aggregation on its digest; Spark may split the
     join back.
     """
-    html = F.coalesce("html", F.lit(""))
-    base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    rows = materialise(base.select(F.monotonically_increasing_id().alias("row"), "*"), "pages", "zstd")
     slim = rows.select("row", "page_id", "digest", "size")
     last = slim.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(last.select("digest", "o"), "digest", "left").select("row", "page_id", "url", "html", "digest", "size", F.when(F.col("o.row") != F.col("row"), F.col("o.row")).alias("original"))
@@ -56,7 +65,10 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000, gzip: bool = True) -> None:
     """Write one request, one response or revisit, and one metadata record for each page."""
-    planned = plan(pages, least)
+    rows = numbered(pages)
+    planned = plan(rows, least)
+    usual = rows.agg((F.avg("size") + F.percentile_approx("size", 0.99)).alias("bytes")).first()["bytes"] or 1
+    per_file = 3 * max(1, min(FILE_PAGES, int(FILE_BYTES // max(1, usual))))
     again = F.col("original").isNotNull()
     main, uri = _urn(F.concat(F.lit("response/"), F.col("row"))), F.col("url")
     http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), F.col("size"), F.lit(CRLF + CRLF))
@@ -70,37 +82,75 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, gzip: bool =
     facts = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{CRLF}payload_bytes: "), F.col("size").cast("string"), F.lit(CRLF))
     metadata = _record("metadata", _urn(F.concat(F.lit("metadata/"), F.col("row"))), uri, "application/warc-fields", facts, [with_main])
     records = planned.select(F.explode(F.array(F.when(again, revisit).otherwise(response), request, metadata)).alias("value"))
-    writer = records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS)
+    writer = records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file)
     (writer.option("compression", "gzip") if gzip else writer).text(path)
-
-
-def parse(raw: bytes) -> Iterator[dict]:
-    """The records of an archive's bytes."""
-    at, end = 0, len(raw)
-    while at < end:
-        stop = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:stop].decode().split(CRLF)
+    discard(rows)
+
+
+def inflated(raw: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The plain bytes of a file of any number of gzip members, or of a plain file, piece by piece."""
+    view, at = memoryview(raw), 0
+    while raw[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            some = view[at : at + piece]
+            if not some:
+                raise ValueError("a gzip member is cut off")
+            yield member.decompress(some)
+            at += len(some) - len(member.unused_data)
+    while at < len(raw):
+        yield bytes(view[at : at + piece])
+        at += piece
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """The records of an archive's plain bytes, given piece by piece. Names of header fields may be in any case."""
+    some, at, held = iter(pieces), 0, bytearray()
+
+    def more() -> bool:
+        nonlocal at
+        got = next(some, None)
+        if got is None:
+            return False
+        if at > len(held) // 2:  # parsed bytes go once they are most of the buffer
+            del held[:at]
+            at = 0
+        held.extend(got)
+        return True
+
+    while True:
+        while held[at : at + 2] == b"\r\n":  # line ends after the last record
+            at += 2
+        seen = at
+        while (stop := held.find(b"\r\n\r\n", seen)) < 0:
+            ahead = max(at, len(held) - 3) - at
+            if not more():
+                if held[at:].strip(b"\r\n"):
+                    raise ValueError("the last record's header is cut off")
+                return
+            while held[at : at + 2] == b"\r\n":
+                at += 2
+            seen = at + max(0, ahead - 4)
+        lines = held[at:stop].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        block = raw[stop + 4 : stop + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut off")
-        kind = head["WARC-Type"]
-        payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit", "request") else block
-        digest = head.get("WARC-Payload-Digest")
+            raise ValueError(f"no WARC record begins with {lines[0][:40]!r}")
+        head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        field = {k.lower(): v for k, v in head.items()}
+        size, start = int(field["content-length"]), stop + 4 - at
+        while len(held) - at < start + size:
+            if not more():
+                raise ValueError(f"the record {field.get('warc-record-id')} is cut off")
+        block = bytes(held[at + start : at + start + size])
+        at += start + size
+        kind, digest = field["warc-type"], field.get("warc-payload-digest")
         yield {
-            "record_id": head["WARC-Record-ID"], "concurrent_to": head.get("WARC-Concurrent-To"), "refers_to": head.get("WARC-Refers-To"), "kind": kind, "uri": head.get("WARC-Target-URI"),
-            "digest": digest and digest.partition(":")[2], "headers": head, "payload": payload,
+            "record_id": field["warc-record-id"], "concurrent_to": field.get("warc-concurrent-to"), "refers_to": field.get("warc-refers-to"), "kind": kind, "uri": field.get("warc-target-uri"),
+            "digest": digest and digest.partition(":")[2], "headers": head, "payload": block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit", "request") else block,
         }
-        at = stop + 4 + size + 4
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives (plain or gzip, one file at a time in a task)."""
-    import zlib
-
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -108,23 +158,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     schema = to_arrow_schema(_parse_datatype_string(RECORD))
 
-    def inflated(raw: bytes) -> bytes:
-        out = []
-        while raw[:2] == b"\x1f\x8b":  # one member or one for each record
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(raw))
-            raw = member.unused_data
-        return b"".join(out) + raw
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 some: list[dict] = []
+                size = 0
                 for record in parse(inflated(batch.column("content")[k].as_py())):
                     some.append(record | {"headers": list(record["headers"].items())})
-                    if len(some) == 512:
+                    size += len(record["payload"])
+                    if len(some) == 512 or size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(some, schema=schema)
-                        some = []
+                        some, size = [], 0
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema=schema)
 
@@ -132,26 +176,30 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: (record_id, uri, kind, digest, refers_to, response, request, metadata).
+    """One nested row for each capture: (record_id, uri, kind, digest, refers_to, payload_bytes, payload_sha1, response, request, metadata).
 
     Requests and metadata are joined to the record that they name; a capture without them has nulls,
     one with several keeps the one of the smallest record id. Records that name nothing known are left out.
+    payload_bytes and payload_sha1 are taken before the join, so a caller that needs no more than these
+    has no payload moved.
     """
     body = F.struct("record_id", "headers", "payload")
-    main = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "uri", "kind", "digest", "refers_to", body.alias("response"))
+    main = records.where(F.col("kind").isin("response", "revisit")).select(
+        "record_id", "uri", "kind", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_sha1"), body.alias("response")
+    )
     sides = records.where(F.col("kind").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     by = sides.groupBy(F.col("concurrent_to").alias("record_id")).agg(*[F.min_by(F.when(F.col("kind") == k, body), F.when(F.col("kind") == k, F.col("record_id"))).alias(k) for k in ("request", "metadata")])
     return main.join(by, "record_id", "left")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the result of captures()."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the result of captures(), written once."""
     facts = found.select(
         "record_id", "kind", "refers_to", F.str_to_map(F.col("metadata.payload").cast("string"), F.lit(CRLF), F.lit(": ")).alias("m"),
-        F.when(F.col("kind") == "response", F.sha1("response.payload")).otherwise(F.col("digest")).alias("digest"), F.octet_length("response.payload").alias("n"),
+        F.when(F.col("kind") == "response", F.col("payload_sha1")).otherwise(F.col("digest")).alias("digest"), F.col("payload_bytes").alias("n"),
     )
     flat = facts.select(
-        "record_id", F.expr("try_cast(m['page_id'] AS bigint)").alias("page_id"), F.when(F.col("kind") == "response", F.col("n")).otherwise(F.expr("try_cast(m['payload_bytes'] AS bigint)")).cast("long").alias("payload_bytes"),
+        "record_id", F.expr("try_cast(m['page_id'] AS bigint)").alias("page_id"), F.when(F.col("kind") == "response", F.col("n")).otherwise(F.expr("try_cast(m['payload_bytes'] AS bigint)")).alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").alias("target"),
     )
     flat = materialise(flat, "captures")
