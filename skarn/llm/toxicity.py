@@ -2,13 +2,17 @@
 
 The lexicon is a short fixed seed and what a bounded sample of labelled texts teaches: words, and word
 beginnings of four to six letters, that occur in toxic texts far more than in others. Of the sample,
-two parts in five teach the lexicon, two the trees and one the calibration, so that no part judges
-words by the texts that brought them up. Features: lexicon densities, second-person proximity,
-capitals, punctuation and obfuscation rates. Every whole text is scored; labels are used for fitting only.
-
-Defined results: null and empty texts score as texts without words; ids labelled more than once count
-as toxic if any label says so; null labels are ignored; without both kinds of label every score is the
-share of toxic labels (0.5 without any); an empty table gives an empty result.
+two parts in five teach the lexicon and three the trees, so that no text judges words that it brought up
+itself. Isotonic calibration is fitted at every size on cross-fitted scores: each of the three parts is
+scored by trees that have seen the other two only; the final trees have seen all three. Features: lexicon
+densities, second-person proximity, capitals, punctuation and obfuscation rates. Every whole text is
+scored; labels are used for fitting only. The model is the same however its input is dealt.
+
+Defined results: null and empty texts score as texts without words; texts of any length are read whole;
+ids labelled more than once count as toxic if any label says so, and so do equal texts (that of the
+smallest id stands for them, so repeated rows count once); null labels are ignored; without both kinds of
+label among the trees' texts every score is the share of toxic labels (0.5 without any); equal texts get
+equal scores; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.boosting import Isotonic, Trees
-from skarn.llm.common import arrow_map, materialise, ship
+from skarn.llm.common import arrow_map, discard, materialise, ship
 
 SEED = frozenset("idiot idiots moron morons stupid trash scum loser losers pathetic worthless disgusting clown dumb garbage".split())
 YOU = frozenset("you your yours youre u ur du dein deine dich dir ihr tu te toi ton ta vous votre tú usted ustedes vosotros".split())
@@ -104,8 +108,8 @@ def featurise(docs: DataFrame, lexicon: dict[str, float], carry: str = "") -> Da
     return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {carry + ', ' if carry else ''}x array<double>")
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 2.0, most: int = 4000) -> dict[str, float]:
-    """Words and stems with their log odds, from a bounded sample (text, label); at most ``most`` of them."""
+def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 2.0) -> dict[str, float]:
+    """Words and stems with their log odds, from a bounded sample (text, label): all that ``least`` toxic texts hold and that reach the odds."""
 
     def run(batch: pa.RecordBatch) -> dict:
         counts = {0: Counter(), 1: Counter()}
@@ -122,8 +126,8 @@ def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 2.0, most: in
     each = arrow_map(sample.select("text", "label"), run, "token string, toxic long, other long")
     log_odds = F.log((F.col("toxic") + 0.1) / (sizes[1] + 0.2)) - F.log((F.col("other") + 0.1) / (sizes[0] + 0.2))
     total = each.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= least)
-    rows = total.withColumn("v", log_odds).where(F.col("v") >= odds).orderBy(F.desc(F.col("v") * F.log1p("toxic")), "token").limit(most).collect()
-    return {r.token: float(r.v) for r in rows}
+    rows = total.withColumn("v", log_odds).where(F.col("v") >= odds).collect()  # bounded as the sample is
+    return {r.token: float(r.v) for r in sorted(rows, key=lambda r: r.token)}
 
 
 def sample_labels(labels: DataFrame, most: int) -> DataFrame:
@@ -133,36 +137,47 @@ def sample_labels(labels: DataFrame, most: int) -> DataFrame:
 
 
 class Model:
+    """Trees and the calibration of their scores; without both kinds of label, the share of toxic ones."""
+
     def __init__(self, lexicon: dict[str, float], trees: Trees | None, calibrate: Isotonic | None, share: float) -> None:
         self.lexicon, self.trees, self.calibrate, self.share = lexicon, trees, calibrate, share
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(x), self.share)
-        s = self.trees.score(x)
-        return self.calibrate(s) if self.calibrate is not None else 1 / (1 + np.exp(-s))
+        return np.full(len(x), self.share) if self.trees is None else self.calibrate(self.trees.score(x))
+
+
+def cross_fitted(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[Trees, Isotonic]:
+    """Trees over all rows, and their calibration on scores of each part by trees over the others."""
+
+    def grown(rows: np.ndarray) -> Trees:
+        return Trees(rounds=60, least=max(3, min(10, int(rows.sum() // 50)))).fit(x[rows], y[rows])
+
+    apart = np.zeros(len(y))
+    for p in np.unique(part):
+        others = part != p
+        if others.any():
+            apart[~others] = grown(others).score(x[~others])
+    return grown(np.ones(len(y), bool)), Isotonic().fit(apart, y)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 30_000) -> Model:
     """Fit on at most ``most`` labelled rows. docs: doc_id, text; labels: doc_id, label (0 or 1)."""
     ids = sample_labels(labels, most)
-    kept = materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))), "sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    kept = materialise(texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int")), "sample")
     sizes = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
     if len(sizes) < 2:
+        discard(kept)
         return Model({}, None, None, share)
     lexicon = learn_lexicon(kept.where("part < 2"))
-    rows = featurise(kept.where("part >= 2").select("doc_id", "text", F.col("label").cast("int").alias("label"), F.col("part").cast("int").alias("part")), lexicon, "label int, part int").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = featurise(kept.where("part >= 2").select("doc_id", "text", "label", "part"), lexicon, "label int, part int").toPandas()
+    discard(kept)
+    rows = rows.sort_values(["part", "doc_id"], kind="stable")
     x, y, part = np.array(rows["x"].tolist(), float).reshape(len(rows), -1), rows["label"].to_numpy(float), rows["part"].to_numpy()
-    first = part < 4
-    if first.sum() < 500:  # too few to part: the trees see both parts
-        first = np.ones(len(part), bool)
-    if len(set(y[first])) < 2:
+    if len(set(y)) < 2:
         return Model(lexicon, None, None, share)
-    trees = Trees(rounds=60, least=max(3, min(10, int(first.sum() // 50)))).fit(x[first], y[first])
-    calibrate = Isotonic().fit(trees.score(x[~first]), y[~first]) if (~first).sum() >= 200 else None
-    return Model(lexicon, trees, calibrate, share)
+    return Model(lexicon, *cross_fitted(x, y, part), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
