@@ -6,10 +6,14 @@ texts that hold a hash are counted (summed before they are shuffled). A hash is
 widely held: by more than MAX_OWNERS owners, or by several owners in at least WIDE repositories and WIDE
 different texts, so that copies of one document under a few owners leave its keys live-looking. A hash of
 one owner is live-looking however often that owner repeats it. Candidates beyond the fixed kinds count as
-secrets only if live-looking.
+secrets only if live-looking. Owner and repository are column expressions of the caller; the default
+takes the column source as owner, and source with lang as repository, for want of better columns.
 
 Defined results: null and empty texts have no spans; candidates under one owner that is null count as
-one owner; repeated rows each get a row; an empty table gives an empty result.
+one owner; texts of any length are scanned whole, in time that grows with their length; spans that begin
+at one place are listed in the order of KINDS, then by end; repeated rows each get a row and count as
+one text; an empty table gives an empty result; extra columns are ignored, whatever their names, and
+redacted() keeps them.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,12 +42,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so asking for 24 drops the shorter ones
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_NAMED = {
-    "github": ("gh", re.compile(r"\bgh[opsur]_[A-Za-z0-9]{36,}")),
-    "slack": ("xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    "key_block": ("PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
-}
+_GITHUB = re.compile(r"\bgh[opsur]_[A-Za-z0-9]{36,}")
+_SLACK = re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{29,}")
+_HEAD = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}")
+_BEGIN, _END = (re.compile(rf"-----{x} [A-Z ]*PRIVATE KEY-----") for x in ("BEGIN", "END"))
 
 
 def entropy(value: str) -> float:
@@ -49,6 +54,47 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def tokens_of_three(text: str) -> Iterator[tuple[int, int]]:
+    """Web tokens: three dotted parts of eight characters or more, the first beginning with eyJ. Each run is read once."""
+    for run in _DOTTED.finditer(text):
+        at, parts = run.start(), run[0].split(".")
+        k = 0
+        while k + 2 < len(parts):
+            head = _HEAD.search(text, at, at + len(parts[k])) if "eyJ" in parts[k] else None
+            if head and len(parts[k + 1]) >= 8 and len(parts[k + 2]) >= 8:
+                end = at + sum(map(len, parts[k : k + 3])) + 2
+                yield head.start(), end
+                at, k = end + 1, k + 3
+            else:
+                at, k = at + len(parts[k]) + 1, k + 1
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """From a beginning mark to the next ending one; both kinds of mark are read once."""
+    ends = _END.finditer(text)
+    end, free = next(ends, None), 0
+    for begin in _BEGIN.finditer(text):
+        while end and end.start() < begin.end():
+            end = next(ends, None)
+        if end is None:
+            return
+        if begin.start() >= free:
+            free = end.end()
+            yield begin.start(), free
+
+
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str, least_entropy: float = 3.0) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) by start, then kind; positions in code points."""
     found = []
@@ -62,12 +108,18 @@ def candidates(text: str, least_entropy: float = 3.0) -> list[tuple[str, int, in
         found += [("hex", m.start(), m.end(), m[0]) for m in _HEX.finditer(text)]
     elif re.search(r"[a-f]{24,}", text):
         found += [("hex", m.start(), m.end(), m[0]) for m in _HEX.finditer(text)]
-    for kind, (hint, pattern) in _NAMED.items():
-        if hint in text:
-            found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in found]
+    if "gh" in text:
+        found += [("github", m.start(), m.end(), m[0]) for m in _GITHUB.finditer(text)]
+    if "xox" in text:
+        found += [("slack", m.start(), m.end(), m[0]) for m in _SLACK.finditer(text)]
+    if "eyJ" in text:
+        found += [("jwt", a, b, text[a:b]) for a, b in tokens_of_three(text)]
+    if "PRIVATE KEY" in text:
+        found += [("key_block", a, b, text[a:b]) for a, b in key_blocks(text)]
+    starts, ends = merged([(a, b) for _, a, b, _ in found])
     for m in opaque:
-        if not any(a < m.end() and m.start() < b for a, b in taken) and any(c.isalpha() for c in m[0]) and entropy(m[0]) >= least_entropy:
+        k = bisect_right(starts, m.end() - 1) - 1  # the last span that begins before the token's end
+        if (k < 0 or ends[k] <= m.start()) and any(c.isalpha() for c in m[0]) and entropy(m[0]) >= least_entropy:
             found.append(("opaque", m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
