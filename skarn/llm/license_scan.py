@@ -3,15 +3,17 @@
 A block is a line of the text, or a run of words over line ends that is at most 1 / ``threshold`` times as
 long as the template (so that wrapped notices are found, and words scattered over a long text are not);
 a template matches it if the block holds at least the share ``threshold`` of the template's distinct words.
-Runs are looked at only in texts of several lines that hold enough of a template's words anywhere.
-For lines, template words are ordered by how many documents hold
-them, rarest first: a block that lacks the first |T| - ceil(threshold |T|) + 1 of them cannot match
-(prefix filter); one with fewer template words than needed cannot (length filter); and once the place
-of the first shared prefix word is known, the words after it must still suffice (positional filter).
-The templates are a bounded table, so their side of the join is checked in size and broadcast.
-
-Defined results: null and empty texts have no words, labels or places; repeated rows each get a row;
-an empty table gives an empty result.
+Words are ordered over the whole corpus by how many documents hold them, rarest first. With that order:
+a block that lacks the first |T| - ceil(threshold |T|) + 1 words of a template cannot match (prefix
+filter); one with fewer template words than needed cannot (length filter); and once the place of the first
+shared word is known on both sides, the words from there on must still suffice (positional filter). What
+passes is counted exactly. For runs the filters are put to the text of several lines as a whole, which
+holds all words of its runs, and the count to the runs themselves.
+Templates are joined AT_ONCE at a time, so what is broadcast stays bounded for any number of them.
+
+Defined results: null and empty texts have no words, labels or places; texts of any length are read whole;
+a template that several blocks meet counts with the best; several labels are sorted by name; repeated rows
+each get a row; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,30 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.common import let, materialise
+from skarn.llm.license_texts import TEMPLATES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # fixed values: base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label and text of each template.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2.0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by", "this work is licensed under a creative commons attribution license"),
-    ("cc-by", "licensed under cc by 4.0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license"),
-    ("copyright", "copyright c all rights reserved"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license version 2.0"),
-    ("proprietary", "this document is confidential and proprietary"),
-    ("public-domain", "this work is dedicated to the public domain"),
-    ("reserved", "all rights reserved"),
-)
-MAX_TEMPLATES = 1000
+#: Templates that are joined at once.
+AT_ONCE = 1000
 
 
 def tokens(text: Column) -> Column:
@@ -58,41 +43,53 @@ def _words(text: str) -> list[str]:
 
 
 def _need(n: int, threshold: float) -> int:
-    return math.ceil(threshold * n - 1e-9)
+    return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(row, doc_id, n_words, places, wrapped, blocks), written once.
+def _list(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")  # folded to a constant
 
-    places: (start, label) of each phrase; wrapped: (label, score) of each template that some run of words
-    of a text of several lines meets; blocks: for each line the template words it holds, where they are as
-    many as the smallest template needs at least.
+
+def ordered(texts: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> tuple[list[str], list[tuple]]:
+    """The templates' words, and (template, label, words, need, span, prefix, place) for each prefix word of each template.
+
+    Words come by document frequency, rarest first, then by word; place counts from 0. The driver gets one
+    count for each template word.
     """
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"at most {MAX_TEMPLATES} templates are broadcast")
     known = sorted({w for _, t in templates for w in _words(t)})
-    least = min(2, *(len(set(_words(t))) for _, t in templates))
-    vocabulary = F.split(F.lit(" ".join(known)), " ")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = []
-    for label, template in templates:
-        words = sorted(set(_words(template)))
-        span = math.ceil(len(_words(template)) / threshold - 1e-9)
-        kinds.append(F.struct(F.lit(label).alias("label"), F.split(F.lit(" ".join(words)), " ").alias("words"), F.lit(_need(len(words), threshold)).alias("need"), F.lit(span).alias("span")))
+    held = texts.select(F.explode(F.array_intersect(tokens(F.coalesce("text", F.lit(""))), _list(known))).alias("w")).groupBy("w").count()
+    often = {r.w: r["count"] for r in held.collect()}
+    order = sorted(known, key=lambda w: (often.get(w, 0), w))
+    rank = {w: k for k, w in enumerate(order)}
+    rows = []
+    for k, (label, text) in enumerate(templates):
+        words = sorted(set(_words(text)), key=rank.__getitem__)
+        need = _need(len(words), threshold)
+        rows += [(k, label, words, need, math.ceil(len(_words(text)) / threshold - 1e-9), w, p) for p, w in enumerate(words[: len(words) - need + 1])]
+    return order, rows
+
 
-    def wrapped(w: Column) -> Column:
-        def best(t: Column) -> Column:
-            hits = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("w"))), lambda h: F.array_contains(t.words, h.w))
+def scan(texts: DataFrame, order: list[str], rows: list[tuple], phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(row, doc_id, n_words, places, blocks), written once.
 
-            def most(h: Column) -> Column:  # a run starts at a template word and has at most span of them
-                run = lambda x, k: F.filter(F.slice(h, k + 1, t.span), lambda y: y.at < x.at + t.span)
-                return F.array_max(F.transform(h, lambda x, k: F.size(F.array_distinct(F.transform(run(x, k), lambda y: y.w)))))
+    places: (start, label) of each phrase; blocks: for each line that holds a prefix word, and for a text of
+    several lines as a whole, held: its template words in the corpus order; and hits: null for lines, else
+    (at, w) of every template word of the text.
+    """
+    least = min((r[3] for r in rows), default=1)
+    rare, vocabulary = _list(sorted({r[5] for r in rows})), _list(order)
+    text = F.coalesce("text", F.lit(""))
+    block = "array<struct<held:array<string>,hits:array<struct<at:int,w:string>>>>"
+    nothing = F.array().cast(block)
 
-            return let(let(hits, most), lambda n: F.struct(t.label.alias("label"), (n / F.size(t.words)).alias("score"), (n >= t.need).alias("met")))
+    def of_lines(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.split(F.lower(x), SEPARATORS)), lambda x: F.arrays_overlap(x, rare))
+        held = F.transform(lines, lambda x: F.struct(F.array_intersect(vocabulary, x).alias("held"), F.lit(None).cast("array<struct<at:int,w:string>>").alias("hits")))
+        return F.filter(held, lambda b: F.size(b.held) >= least)
 
-        some = let(F.array_intersect(w, vocabulary), lambda held: F.filter(F.array(*kinds), lambda t: F.size(F.array_intersect(t.words, held)) >= t.need))
-        met = F.filter(F.transform(some, best), lambda x: x.met)
-        return F.transform(met, lambda x: F.struct(x.label.alias("label"), x.score.alias("score")))
+    def of_text(w: Column) -> Column:
+        hits = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("w"))), lambda h: F.array_contains(vocabulary, h.w))
+        return F.array(F.struct(F.array_intersect(vocabulary, w).alias("held"), hits.alias("hits")))
 
     def found(w: Column) -> Column:
         def here(i: Column) -> Column:
@@ -106,53 +103,58 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
             return F.struct(i.cast("long").alias("start"), case.alias("label"))
 
         line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-        some = None
+        some = F.lit(False)
         for phrase in phrases:
-            one = F.contains(line, F.lit(f" {phrase} "))
-            some = one if some is None else some | one
+            some = some | F.contains(line, F.lit(f" {phrase} "))
         at = F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 1), here), lambda x: x.label.isNotNull())
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(some, at).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"), F.when(F.contains(text, F.lit("\n")), wrapped(w)).alias("wrapped"))
+        wide = F.when(F.contains(text, F.lit("\n")), of_text(w)).otherwise(nothing)
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.when(some, at).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("places"),
+            F.when(F.arrays_overlap(w, rare), F.concat(of_lines(text), wide)).otherwise(nothing).alias("blocks"),
+        )
 
-    blocks = F.filter(F.transform(F.split(text, "\n"), lambda x: F.array_intersect(F.split(F.lower(x), SEPARATORS), vocabulary)), lambda b: F.size(b) >= least)
-    df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), let(tokens(text), found).alias("f"), blocks.alias("blocks"))
-    return materialise(df.select("row", "doc_id", "f.n_words", "f.places", "f.wrapped", "blocks"), "scanned")
+    df = texts.select("row", "doc_id", let(tokens(text), found).alias("f"))
+    return materialise(df.select("row", "doc_id", "f.n_words", "f.places", "f.blocks"), "scanned")
 
 
-def ordered(spark: SparkSession, scanned: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(template, label, words, need, prefix, place): one row for each prefix word of each template.
+def _most(hits: Column, words: Column, span: Column) -> Column:
+    """The most distinct words of a template in any run of ``span`` words; a run starts at a template word."""
+    own = F.filter(hits, lambda h: F.array_contains(words, h.w))
 
-    words has the template's words by document frequency, rarest first, then by word; place counts from 0.
-    """
-    held = scanned.select(F.explode(F.array_distinct(F.flatten("blocks"))).alias("w")).groupBy("w").count()
-    often = {r.w: r["count"] for r in held.collect()}  # at most one row for each template word
-    rows = []
-    for k, (label, text) in enumerate(templates):
-        words = sorted(set(_words(text)), key=lambda w: (often.get(w, 0), w))
-        need = _need(len(words), threshold)
-        rows += [(k, label, words, need, w, p) for p, w in enumerate(words[: len(words) - need + 1])]
-    return spark.createDataFrame(rows, "template int, label string, words array<string>, need int, prefix string, place int")
+    def best(h: Column) -> Column:
+        run = lambda x, k: F.filter(F.slice(h, k + 1, span), lambda y: y.at < x.at + span)
+        return F.coalesce(F.array_max(F.transform(h, lambda x, k: F.size(F.array_distinct(F.transform(run(x, k), lambda y: y.w))))), F.lit(0))
+
+    return let(own, best)
 
 
-def matches(scanned: DataFrame, prefixes: DataFrame) -> DataFrame:
+def matches(spark: SparkSession, scanned: DataFrame, rows: list[tuple]) -> DataFrame:
     """(row, label, score): every template label that some block of the row meets, with the best containment."""
-    blocks = scanned.select("row", F.posexplode("blocks").alias("b", "held"))
-    each = blocks.select("row", "b", "held", F.explode("held").alias("prefix"))
-    pairs = each.join(F.broadcast(prefixes), "prefix").where((F.size("held") >= F.col("need")) & (F.size("words") - F.col("place") >= F.col("need") - F.col("place")))
+    prefixes = F.broadcast(spark.createDataFrame(rows, "template int, label string, words array<string>, need int, span int, prefix string, place int"))
+    blocks = scanned.select("row", F.posexplode("blocks").alias("b", "x")).select("row", "b", "x.held", "x.hits")
+    each = blocks.where(F.size("held") > 0).select("row", "b", "held", "hits", F.posexplode("held").alias("i", "prefix"))
+    pairs = each.join(prefixes, "prefix").where(F.size("held") >= F.col("need"))  # prefix and length
     first = pairs.where(~F.arrays_overlap(F.slice("words", F.lit(1), F.col("place")), "held"))  # once a pair: at its first shared word
-    rest = F.size("words") - F.col("place")
-    score = F.size(F.array_intersect("words", "held")) / F.size("words")
-    return (
-        first.where(rest >= F.col("need")).select("row", "label", score.alias("score"), "need", F.size("words").alias("n"))
-        .where(F.col("score") * F.col("n") >= F.col("need") - 1e-9).groupBy("row", "label").agg(F.max("score").alias("score"))
-    )
+    rest = first.where((F.size("held") - F.col("i") >= F.col("need")) & (F.size("words") - F.col("place") >= F.col("need")))  # positional
+    n = F.when(F.col("hits").isNull() | (F.size(F.array_intersect("words", "held")) < F.col("need")), F.size(F.array_intersect("words", "held"))).otherwise(_most(F.col("hits"), F.col("words"), F.col("span")))
+    counted = rest.select("row", "label", "need", F.size("words").alias("of"), n.alias("n")).where(F.col("n") >= F.col("need"))
+    return counted.groupBy("row", "label").agg(F.max(F.col("n") / F.col("of")).alias("score"))
 
 
 def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base places and labels, all labels and the best score of every row of docs."""
-    scanned = scan(docs, templates, phrases, id_col, text_col, threshold)
-    lines = matches(scanned, ordered(docs.sparkSession, scanned, templates, threshold))
-    joined = lines.unionByName(scanned.select("row", F.inline("wrapped")))
-    by_row = joined.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    spark = docs.sparkSession
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    groups = [templates[k : k + AT_ONCE] for k in range(0, len(templates), AT_ONCE)] or [()]
+    if len(groups) > 1:
+        texts = materialise(texts, "texts")  # so that row numbers hold over the groups
+    scanned = found = None
+    for group in groups:
+        order, rows = ordered(texts, group, threshold)
+        one = scan(texts, order, rows, phrases)
+        more = matches(spark, one, rows)
+        scanned, found = (one, more) if scanned is None else (scanned, found.unionByName(more))
+    by_row = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     base = F.sort_array(F.array_distinct(F.transform("places", lambda p: p.label)))
     start = F.transform("places", lambda p: p.start)
     return scanned.join(by_row, "row", "left").select(
