@@ -143,6 +143,19 @@ def ocr_normalised(text: Column | str) -> Column:
     return strip(F.regexp_replace(t, r"[ \t]+", " "))
 
 
+def without_running_heads(pages: Column | str, least: int = 3) -> Column:
+    """Pages without running heads and feet: the first or last line of a page where half of the pages or more, and ``least`` at the least, have it."""
+    body = lambda p: F.filter(F.split(F.coalesce(p, F.lit("")), "\n"), lambda x: strip(x) != "")
+
+    def cleaned(all_: Column) -> Column:
+        ends = F.flatten(F.transform(all_, lambda p: F.array_distinct(F.filter(F.array(strip(F.get(body(p), F.lit(0))), strip(F.get(F.reverse(body(p)), F.lit(0)))), lambda x: x.isNotNull()))))
+        often = F.filter(F.array_distinct(ends), lambda e: F.size(F.filter(ends, lambda x: x == e)) >= F.greatest(F.lit(least), F.ceil(F.size(all_) / 2)))
+        drop = lambda p, o: F.array_join(F.filter(F.split(F.coalesce(p, F.lit("")), "\n"), lambda x: ~F.array_contains(o, strip(x))), "\n")
+        return F.transform(F.array(often), lambda o: F.transform(all_, lambda p: drop(p, o)))[0]
+
+    return F.transform(F.array(_c(pages)), lambda a: cleaned(a))[0]
+
+
 def content_md5(text: Column | str) -> Column:
     return F.md5(F.lower(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\s+", " ")).cast("binary"))
 
@@ -167,5 +180,6 @@ def register(spark: SparkSession) -> None:
     }
     for head, body in sql.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    bare = "regexp_replace(t, '^[\\\\s\\\\p{Z}]+|[\\\\s\\\\p{Z}]+$', '')"
     table = ", ".join(f"'{k}', '{v}'" for k, v in L.DEFAULT.aliases.items())
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kg_normalize_term(t STRING) RETURNS STRING RETURN coalesce(try_element_at(map({table}), lower(trim(t))), trim(t))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kg_normalize_term(t STRING) RETURNS STRING RETURN coalesce(try_element_at(map({table}), lower({bare})), {bare})")

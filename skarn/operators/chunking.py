@@ -54,17 +54,25 @@ def chunked(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     return run(text)
 
 
+def paged(pages: Column, size: int = 1200, overlap: int = 200) -> Column:
+    """array<struct<page,text>> of the chunks of a document's pages, in order; page counts from 1."""
+
+    @pandas_udf("array<struct<page:int,text:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda p: [{"page": k, "text": c} for k, body in enumerate([] if p is None else p, 1) for c in pieces(body, size, overlap)])
+
+    return run(pages)
+
+
 def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     """(id, doc_id, idx, page, text) from (doc_id, pages array<string>).
 
-    Chunks never cross pages; page is null where a document has one page; idx runs over the document.
+    Chunks never cross pages; page is null where a document has one page; idx runs over the document. A
+    row's pages are cut inside the row, so no text is shuffled and rows that share an id stay apart.
     """
-    each = pages.select("doc_id", F.size("pages").alias("n"), F.posexplode("pages").alias("p", "body")).select("doc_id", "n", "p", chunked(F.col("body"), size, overlap).alias("c"))
-    doc = each.groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "c"))).alias("all"))
-    flat = F.flatten(F.transform("all", lambda x: F.transform(x.c, lambda t: F.struct(x.p.alias("p"), t.alias("text")))))
-    return doc.select("doc_id", "n", F.posexplode(flat).alias("idx", "x")).select(
-        chunk_id("doc_id", "idx").alias("id"), "doc_id", "idx", F.when(F.col("n") > 1, F.col("x.p") + 1).alias("page"), F.col("x.text").alias("text")
-    )
+    each = pages.select("doc_id", F.size("pages").alias("n"), F.posexplode(paged(F.col("pages"), size, overlap)).alias("idx", "x"))
+    return each.select(chunk_id("doc_id", "idx").alias("id"), "doc_id", "idx", F.when(F.col("n") > 1, F.col("x.page")).alias("page"), F.col("x.text").alias("text"))
 
 
 class ChunkTable:

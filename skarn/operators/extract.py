@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
+from skarn.functions.text import normalize_term
 from skarn.lexicon import DEFAULT, Lexicon
 
 MENTION = "array<struct<ord:int,type:string,name:string,canonical:string,value_low:double,value_high:double,unit:string>>"
@@ -29,27 +29,49 @@ def keyword_mentions(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     return F.transform(first, lambda x: F.struct(x.ord.alias("ord"), x.type.alias("type"), x["name"].alias("name"), x.canonical.alias("canonical"), F.lit(None).cast("double").alias("value_low"), F.lit(None).cast("double").alias("value_high"), F.lit(None).cast("string").alias("unit")))
 
 
-def _values(text: str, pattern: re.Pattern, parameters: list[str], lexicon: Lexicon) -> Iterator[dict]:
-    for k, m in enumerate(pattern.finditer(text)):
-        low, high = (float(g.replace(",", ".")) if g else None for g in m.group(1, 2))
-        before = text[max(0, m.start() - 50) : m.start()].lower()
-        name = next((lexicon.canonical(p) for p in parameters if p in before), f"parameter_{m[3]}")
-        yield {"ord": 100_000 + k, "type": "Parameter", "name": name, "canonical": name, "value_low": low, "value_high": low if high is None else high, "unit": m[3]}
+# fixed values: signs of comparison, and dashes between the ends of a range
+COMPARED, DASHES = ("<", ">", "<=", ">=", "≤", "≈", "~"), "-–—"
+_MARK, _FIELD = "\ue000", "\ue001"
+_AROUND = 50
+
+
+def value_pattern(units: list[str]) -> str:
+    """A number or a range of numbers and a unit; longer units win. Groups: low, high, unit."""
+    number = r"([0-9]+(?:[.,][0-9]+)?)"
+    sign = "|".join(sorted(COMPARED, key=len, reverse=True))
+    return rf"(?:{sign})?\s*{number}\s*(?:[{DASHES}]\s*{number}\s*)?({'|'.join(map(re.escape, sorted(units, key=len, reverse=True)))})"
 
 
 def numeric_values(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """Numbers and ranges with a unit, named by a parameter keyword in the 50 characters before."""
-    number = r"\d+(?:[.,]\d+)?"
-    units = "|".join(map(re.escape, sorted(lexicon.units, key=len, reverse=True)))
-    pattern = re.compile(rf"(?:(?:≤|>=|<=|>|<|≈|~)?\s*)?({number})\s*(?:[-–—]\s*({number})\s*)?({units})", re.I)
-    parameters = lexicon.keywords.get("Parameter", [])
+    """Numbers and ranges with a unit, named by a parameter keyword in the 50 characters before.
+
+    Matches are set off by marks and the text is split at them, so all of it stays in the JVM. The two
+    private-use characters that serve as marks count as spaces where a text holds them.
+    """
+    named = F.array(*[F.struct(F.lit(p).alias("word"), F.lit(lexicon.canonical(p)).alias("canonical")) for p in lexicon.keywords.get("Parameter", [])] or [F.struct(F.lit(_MARK).alias("word"), F.lit("").alias("canonical"))])
+    plain = F.translate(F.coalesce(text, F.lit("")), _MARK + _FIELD, "  ")
+    marked = F.regexp_replace(plain, "(?iu)" + value_pattern(lexicon.units), _FIELD.join((_MARK + "$0", "$1", "$2", "$3" + _MARK)))
+
+    def found(parts: Column) -> Column:
+        # odd parts are matches; a match has two characters at least, so the 50 before it lie in as many parts
+        def one(i: Column) -> Column:
+            near = F.transform(F.slice(parts, F.greatest(F.lit(1), i - _AROUND + 1), F.least(i, F.lit(_AROUND))), lambda x: F.substring_index(x, _FIELD, 1))
+            before = F.lower(F.right(F.array_join(near, ""), F.lit(_AROUND)))
+            return F.struct(i.alias("i"), F.split(F.get(parts, i), _FIELD).alias("m"), F.get(F.filter(named, lambda p: F.contains(before, p.word)), F.lit(0)).canonical.alias("known"))
+
+        number = lambda x: F.nullif(F.replace(x, F.lit(","), F.lit(".")), F.lit("")).cast("double")
 
-    @pandas_udf(MENTION)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: list(_values(t or "", pattern, parameters, lexicon)))
+        def mention(x: Column) -> Column:
+            name = F.coalesce(x.known, F.concat(F.lit("parameter_"), F.get(x.m, 3)))
+            low = number(F.get(x.m, 1))
+            return F.struct(
+                (F.lit(100_000) + F.floor((x.i - 1) / 2)).cast("int").alias("ord"), F.lit("Parameter").alias("type"), name.alias("name"), name.alias("canonical"),
+                low.alias("value_low"), F.coalesce(number(F.get(x.m, 2)), low).alias("value_high"), F.get(x.m, 3).alias("unit"),
+            )
 
-    return run(text)
+        return F.when(F.size(parts) > 1, F.transform(F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), one), mention)).otherwise(F.array().cast(MENTION))
+
+    return F.transform(F.array(F.split(marked, _MARK)), lambda p: found(p))[0]
 
 
 def mentions(chunks: DataFrame, lexicon: Lexicon = DEFAULT, keep_named_values: bool = False) -> DataFrame:
@@ -96,26 +118,76 @@ def json_from_reply(reply: str) -> dict | list:
     return {}
 
 
-def model_mentions(chunks: DataFrame, ask: Callable[[str], str], every: int = 5, limit: int = 3000) -> DataFrame:
-    """Mentions from a model that answers in JSON, for each ``every``-th chunk; a failed answer gives none."""
+# fixed values: kinds that a model may name
+KINDS = ("Material", "Process", "Equipment", "Property", "Parameter", "Experiment", "Publication", "Expert", "Facility")
+
+
+def prompt(text: str, limit: int = 3000) -> str:
+    """What a model is asked about a text: entities and relations as JSON."""
+    return (
+        "Name the entities of the text and the relations between them. Answer with JSON only: "
+        '{"entities": [{"type": ..., "name": ..., "canonical": ...}], "relations": [{"source": ..., "target": ..., "type": ...}]}. '
+        f"Types of entities: {', '.join(KINDS)}.\n\nText:\n{text[:limit]}"
+    )
+
+
+def replies(chunks: DataFrame, ask: Callable[[str], str], every: int = 5, limit: int = 3000) -> DataFrame:
+    """(chunk_id, doc_id, chunk_idx, reply) of each ``every``-th chunk: a model's JSON, {} where it fails."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for r in rows.itertuples():
+            for text in rows.pop("text"):
                 try:
-                    got = json_from_reply(ask((r.text or "")[:limit]))
-                except Exception:  # a plug-in may fail in any way; its chunk then has no mentions
+                    got = json_from_reply(ask(prompt(text or "", limit)))
+                except Exception:  # a plug-in may fail in any way; its chunk then has no answer
                     got = {}
-                for k, e in enumerate(got.get("entities", []) if isinstance(got, dict) else []):
-                    if e.get("name"):
-                        out.append((r.id, r.doc_id, r.idx, 200_000 + k, e.get("type") or "Material", e["name"], e.get("canonical") or DEFAULT.canonical(e["name"])))
-            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "chunk_idx", "ord", "type", "name", "canonical"])
+                out.append(json.dumps(got if isinstance(got, dict) else {}, ensure_ascii=False))
+            yield rows.assign(reply=out)
+
+    some = chunks.where(F.col("idx") % every == 0).select(F.col("id").alias("chunk_id"), "doc_id", F.col("idx").cast("int").alias("chunk_idx"), "text")
+    return some.mapInPandas(run, f"chunk_id string, doc_id {dict(chunks.dtypes)['doc_id']}, chunk_idx int, reply string")
+
+
+def model_mentions(chunks: DataFrame, ask: Callable[[str], str], every: int = 5, limit: int = 3000, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Mentions from a model that answers in JSON, for each ``every``-th chunk; a failed answer gives none."""
+    return mentions_of_replies(replies(chunks, ask, every, limit), lexicon)
+
 
-    some = chunks.where(F.col("idx") % every == 0).select("id", "doc_id", "idx", "text")
-    return some.mapInPandas(run, f"chunk_id string, doc_id {dict(chunks.dtypes)['doc_id']}, chunk_idx int, ord int, type string, name string, canonical string")
+def mentions_of_replies(answered: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(chunk_id, doc_id, chunk_idx, ord, type, name, canonical) of the entities in replies(); nameless ones are left out."""
+    e = F.from_json(F.get_json_object("reply", "$.entities"), "array<struct<type:string,name:string,canonical:string>>")
+    each = answered.select("chunk_id", "doc_id", "chunk_idx", F.posexplode(e).alias("k", "e")).where("e.name IS NOT NULL AND e.name <> ''")
+    given = F.nullif(F.col("e.canonical"), F.lit(""))
+    return each.select("chunk_id", "doc_id", "chunk_idx", (F.lit(200_000) + F.col("k")).cast("int").alias("ord"), F.coalesce(F.nullif(F.col("e.type"), F.lit("")), F.lit("Material")).alias("type"), F.col("e.name").alias("name"), F.coalesce(given, normalize_term(F.col("e.name"), lexicon)).alias("canonical"))
+
+
+def relations_of_replies(answered: DataFrame, found: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(doc_id, chunk_idx, ord, src, src_type, dst, dst_type, rel_type) of the relations in replies().
+
+    An end's type is that of the chunk's mention of the name, else Process for the source and Material for the target.
+    """
+    r = F.from_json(F.get_json_object("reply", "$.relations"), "array<struct<source:string,target:string,type:string>>")
+    each = answered.select("chunk_id", "doc_id", "chunk_idx", F.posexplode(r).alias("k", "r")).where("r.source <> '' AND r.target <> ''")
+    flat = each.select("chunk_id", "doc_id", "chunk_idx", (F.lit(200_000) + F.col("k")).cast("int").alias("ord"), normalize_term(F.col("r.source"), lexicon).alias("src"), normalize_term(F.col("r.target"), lexicon).alias("dst"), F.coalesce(F.nullif(F.col("r.type"), F.lit("")), F.lit("related_to")).alias("rel_type"))
+    kinds = found.groupBy("chunk_id", "canonical").agg(F.min_by("type", "ord").alias("kind"))
+    side = lambda n: kinds.select("chunk_id", F.col("canonical").alias(n), F.col("kind").alias(f"{n}_kind"))
+    typed = flat.join(side("src"), ["chunk_id", "src"], "left").join(side("dst"), ["chunk_id", "dst"], "left")
+    return typed.select("doc_id", "chunk_idx", "ord", "src", F.coalesce("src_kind", F.lit("Process")).alias("src_type"), "dst", F.coalesce("dst_kind", F.lit("Material")).alias("dst_type"), "rel_type")
 
 
 def with_model(found: DataFrame, extra: DataFrame) -> DataFrame:
     """Mentions of both, those of the model only where a chunk lacks the (type, canonical)."""
     return found.unionByName(extra.join(found, ["chunk_id", "type", "canonical"], "left_anti"), allowMissingColumns=True)
+
+
+def extracted(chunks: DataFrame, lexicon: Lexicon = DEFAULT, ask: Callable[[str], str] | None = None, every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(mentions, relations) of chunks; with a model, its entities where they are new and all its relations."""
+    found = mentions(chunks, lexicon)
+    related = relations(found, chunks)
+    if ask is None:
+        return found, related
+    answered = replies(chunks, ask, every).cache()  # one question a chunk
+    extra = mentions_of_replies(answered, lexicon)
+    both = with_model(found, extra)
+    return both, related.unionByName(relations_of_replies(answered, both, lexicon), allowMissingColumns=True)

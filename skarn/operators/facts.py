@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skarn.functions import text as T
+
 ROLES = ("researcher", "analyst", "manager", "admin", "external_partner")
 
 
@@ -39,17 +41,68 @@ def visible(role: str) -> Column:
     return F.coalesce("sensitivity", F.lit("public")) == "public" if role == "external_partner" else F.lit(True)
 
 
+def with_kind(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (doc_a, doc_b, ...) with kind: ru_vs_world if one document is from RU and one from WORLD, else method_vs_method."""
+    geo = lambda n: docs.select(F.col("doc_id").alias(f"doc_{n}"), F.col("geo").alias(f"geo_{n}"))
+    two = pairs.join(geo("a"), "doc_a", "left").join(geo("b"), "doc_b", "left")
+    sides = F.coalesce(F.array_sort(F.array("geo_a", "geo_b")) == F.array(F.lit("RU"), F.lit("WORLD")), F.lit(False))
+    return two.withColumn("kind", F.when(sides, "ru_vs_world").otherwise("method_vs_method")).drop("geo_a", "geo_b")
+
+
 def of_kind(contradictions: DataFrame, kind: str | None) -> DataFrame:
     return contradictions.where(F.col("kind") == kind) if kind else contradictions
 
 
+_SAME = ("metric", "canon", "phase", "unit")
+
+
+def _relation(agree: float, differ: float) -> Column:
+    gap = F.try_divide(F.abs(F.col("value_a") - F.col("value_b")), F.greatest(F.abs("value_a"), F.abs("value_b")))  # null: both are 0
+    return F.when(F.coalesce(gap, F.lit(0.0)) <= agree, "VALIDATED_BY").when(gap > differ, "CONTRADICTS")
+
+
+def value_classes(facts: DataFrame) -> DataFrame:
+    """(metric, canon, phase, unit, value, n, least_doc, last_doc): facts of one key and value as one class; facts without a value are left out."""
+    facts = facts.where("value_low IS NOT NULL")
+    key = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in _SAME]
+    return facts.groupBy(*key, F.col("value_low").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("last_doc"))
+
+
+def verify_classes(facts: DataFrame, agree: float = 0.1, differ: float = 0.2) -> DataFrame:
+    """(metric, canon, phase, unit, value_a, value_b, n_a, n_b, doc_a, doc_b, rel): verify() between classes of equal values.
+
+    value_a <= value_b; a class that several documents hold agrees with itself. doc_a and doc_b are a pair
+    of documents that shows the link. Copies of a value cost one row, however many there are.
+    """
+    classes = value_classes(facts)
+    side = lambda n: classes.select(*_SAME, *[F.col(c).alias(f"{c}_{n}") for c in ("value", "n", "least_doc", "last_doc")])
+    pairs = side("a").join(side("b"), list(_SAME)).where("value_a <= value_b AND (least_doc_a <> last_doc_b OR last_doc_a <> least_doc_b)").withColumn("rel", _relation(agree, differ)).where("rel IS NOT NULL")
+    straight = F.col("least_doc_a") != F.col("last_doc_b")
+    return pairs.select(*_SAME, "value_a", "value_b", "n_a", "n_b", F.when(straight, F.col("least_doc_a")).otherwise(F.col("last_doc_a")).alias("doc_a"), F.when(straight, F.col("last_doc_b")).otherwise(F.col("least_doc_b")).alias("doc_b"), "rel")
+
+
+def verify_counts(facts: DataFrame, agree: float = 0.1, differ: float = 0.2) -> DataFrame:
+    """(rel, n): how many pairs verify() would list, counted from classes: all pairs of facts less those of one document."""
+    rows = facts.where("value_low IS NOT NULL").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in _SAME], "doc_id", F.col("value_low").alias("value"))
+
+    def pairs(key: list[str]) -> DataFrame:
+        one = rows.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+        side = lambda x: one.select(*key, F.col("value").alias(f"value_{x}"), F.col("n").alias(f"n_{x}"))
+        met = side("a").join(side("b"), key).where("value_a <= value_b").withColumn("rel", _relation(agree, differ)).where("rel IS NOT NULL")
+        return met.select("rel", F.when(F.col("value_a") < F.col("value_b"), F.col("n_a") * F.col("n_b")).otherwise((F.col("n_a") * (F.col("n_a") - 1) / 2).cast("long")).alias("n"))
+
+    own = pairs([*_SAME, "doc_id"]).select("rel", (-F.col("n")).alias("n"))
+    return pairs(list(_SAME)).unionByName(own).groupBy("rel").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def verify(facts: DataFrame, agree: float = 0.1, differ: float = 0.2) -> DataFrame:
-    """Pairs of facts of the same metric, subject, phase and unit from different documents that agree or contradict."""
-    key = ["metric", "canon", "phase", "unit"]
-    side = lambda n: facts.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in key], F.col("doc_id").alias(f"doc_{n}"), F.col("value_low").alias(f"value_{n}"))
-    gap = F.abs(F.col("value_a") - F.col("value_b")) / F.greatest(F.abs("value_a"), F.abs("value_b"))
-    rel = F.when(F.coalesce(gap, F.lit(0.0)) <= agree, "VALIDATED_BY").when(gap > differ, "CONTRADICTS")
-    return side("a").join(side("b"), key).where("doc_a < doc_b").withColumn("rel", rel).where("rel IS NOT NULL")
+    """Pairs of facts of the same metric, subject, phase and unit from different documents that agree or contradict.
+
+    This lists every pair, so it is for facts that a question has selected; for a whole corpus
+    verify_classes() gives each pair of values once and verify_counts() the numbers.
+    """
+    side = lambda n: facts.where("value_low IS NOT NULL").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in _SAME], F.col("doc_id").alias(f"doc_{n}"), F.col("value_low").alias(f"value_{n}"))
+    return side("a").join(side("b"), list(_SAME)).where("doc_a < doc_b").withColumn("rel", _relation(agree, differ)).where("rel IS NOT NULL")
 
 
 def experiments(facts: DataFrame) -> DataFrame:
@@ -82,27 +135,56 @@ def coverage(docs: DataFrame, facts: DataFrame, by: Column | str) -> DataFrame:
     return rows.groupBy("key").agg(F.countDistinct("doc_id").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("facts"))
 
 
+def top_problems(contradicted: DataFrame, gaps: DataFrame, most: int = 5) -> DataFrame:
+    """(kind, a, b, spread): the widest contradictions and the first gaps of a dashboard."""
+    wide = contradicted.orderBy(F.desc("spread"), "src", "dst").limit(most).select(F.lit("contradiction").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "spread")
+    return wide.unionByName(gaps.orderBy("process", "material").limit(most).select(F.lit("gap").alias("kind"), F.col("process").alias("a"), F.col("material").alias("b"), F.lit(None).cast("double").alias("spread")))
+
+
+def contradicted_subjects(facts: DataFrame, docs: DataFrame, agree: float = 0.1, differ: float = 0.2) -> DataFrame:
+    """(canon, pairs, ru_vs_world): subjects with contradicting values, and whether some pair is of a document from RU and one from WORLD."""
+    against = with_kind(verify_classes(facts, agree, differ).where("rel = 'CONTRADICTS'"), docs)
+    return against.groupBy("canon").agg(F.count(F.lit(1)).alias("pairs"), F.bool_or(F.col("kind") == "ru_vs_world").alias("ru_vs_world"))
+
+
 def risk_zones(facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Subjects with a single source, or with sources from one side only. (canon, docs, low_sources, only_ru, only_world)"""
+    """Subjects with a single source, or with sources from one side only. (canon, docs, low_sources, only_ru, only_world)
+
+    The zone of contradictions is contradicted_subjects().
+    """
     rows = facts.join(docs.select("doc_id", "geo"), "doc_id", "left")
     side = lambda g: F.coalesce(F.bool_and(F.col("geo") == g), F.lit(False))
     out = rows.groupBy("canon").agg(F.countDistinct("doc_id").alias("docs"), side("RU").alias("only_ru"), side("WORLD").alias("only_world"))
     return out.withColumn("low_sources", F.col("docs") == 1).where("low_sources OR only_ru OR only_world")
 
 
-def activity(facts: DataFrame, limit: int = 20) -> DataFrame:
-    return facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"), F.max("extracted_at").alias("last_extracted")).orderBy(F.desc("last_extracted"), "doc_id").limit(limit)
+def activity(facts: DataFrame, limit: int = 20, experts: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, facts, last_extracted) of the documents last worked on; with experts (name, doc_ids) how many each has, with docs its year and geo."""
+    out = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"), F.max("extracted_at").alias("last_extracted")).orderBy(F.desc("last_extracted"), "doc_id").limit(limit)
+    if experts is not None:
+        n = experts.select("name", F.explode("doc_ids").alias("doc_id")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("experts"))
+        out = out.join(n, "doc_id", "left").withColumn("experts", F.coalesce("experts", F.lit(0)))
+    return out if docs is None else out.join(docs.select("doc_id", "year", "geo"), "doc_id", "left")
 
 
 def expert_coverage(experts: DataFrame, limit: int = 20) -> DataFrame:
-    """(name, documents, domains, domain_list) from (name, doc_ids, domains)."""
-    each = experts.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("doc_ids"))).alias("d"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domain_list"))
-    return each.select("name", F.size("d").alias("documents"), F.size("domain_list").alias("domains"), "domain_list").orderBy(F.desc("documents"), "name").limit(limit)
+    """(name, documents, domains, domain_list) from (name, doc_ids, domains); documents are counted, domains, a short vocabulary, listed."""
+    documents = experts.select("name", F.explode_outer("doc_ids").alias("d")).groupBy("name").agg(F.count_distinct("d").cast("int").alias("documents"))
+    listed = experts.select("name", F.explode_outer("domains").alias("d")).groupBy("name").agg(F.array_sort(F.collect_set("d")).alias("domain_list"))
+    each = documents.orderBy(F.desc("documents"), "name").limit(limit).join(listed, "name")
+    return each.select("name", "documents", F.size("domain_list").alias("domains"), "domain_list").orderBy(F.desc("documents"), "name")
+
 
+def compared(facts: DataFrame, axes: list[str], by: str = "process", axis: str = "metric", units: bool = False) -> DataFrame:
+    """min, max and samples of each axis for each process; an axis without facts is null. units=True adds each axis's unit (the first by name)."""
+    parts = [F.min("value_low").alias("min"), F.max("value_high").alias("max"), F.count("value_low").alias("samples")]
+    return facts.groupBy(by).pivot(axis, axes).agg(*parts, *([F.min("unit").alias("unit"), T.unit_label(F.min("unit")).alias("unit_label")] if units else []))
 
-def compared(facts: DataFrame, axes: list[str], by: str = "process", axis: str = "metric") -> DataFrame:
-    """min, max and samples of each axis for each process; an axis without facts is null."""
-    return facts.groupBy(by).pivot(axis, axes).agg(F.min("value_low").alias("min"), F.max("value_high").alias("max"), F.count("value_low").alias("samples"))
+
+def unavailable(facts: DataFrame, axes: list[str], axis: str = "metric") -> DataFrame:
+    """(axis): axes on which there are no facts at all, in the order given."""
+    asked = facts.sparkSession.createDataFrame(list(enumerate(axes)), "k int, axis string")
+    return asked.join(facts.select(F.col(axis).alias("axis")).distinct(), "axis", "left_anti").orderBy("k").select("axis")
 
 
 def filter_options(facts: DataFrame, docs: DataFrame, most: int = 200) -> dict[str, DataFrame]:
@@ -118,12 +200,23 @@ def subscriptions(log: DataFrame) -> DataFrame:
     return last.where("state = 'subscribe'").select("user", "query", "last_seen")
 
 
-def notifications(subscribed: DataFrame, facts: DataFrame, sample: int = 3) -> DataFrame:
-    """(user, query, n, sample): facts on the subject of a subscription extracted since it was last seen."""
-    new = subscribed.join(facts, F.contains(F.lower("canon"), F.lower("query")) & (F.col("extracted_at") > F.col("last_seen")))
-    rank = F.row_number().over(W.partitionBy("user", "query").orderBy(F.desc("extracted_at"), "doc_id"))
-    some = new.withColumn("k", rank)
-    return some.groupBy("user", "query").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= sample, F.col("canon")))).alias("sample"))
+def notifications(subscribed: DataFrame, facts: DataFrame, sample: int = 3, block: int = 1000) -> DataFrame:
+    """(user, query, n, sample): facts on the subject of a subscription extracted since it was last seen; sample: the newest.
+
+    The distinct queries are put to the distinct subjects in blocks; facts then meet subscriptions by
+    equality of the subject.
+    """
+    asked = sorted({r.query for r in subscribed.select("query").distinct().collect()})
+    subjects, met = facts.select("canon").distinct(), None
+    for k in range(0, max(1, len(asked)), block):
+        some = F.array(*[F.lit(q) for q in asked[k : k + block]]).cast("array<string>")
+        one = subjects.select("canon", F.explode(F.filter(some, lambda q: F.contains(F.lower("canon"), F.lower(q)))).alias("query"))
+        met = one if met is None else met.unionByName(one)
+    new = facts.join(subscribed.join(met, "query"), "canon").where(F.col("extracted_at") > F.col("last_seen"))
+    rank = F.row_number().over(W.partitionBy("user", "query").orderBy(F.desc("extracted_at"), "doc_id", "canon"))
+    count = new.groupBy("user", "query").agg(F.count(F.lit(1)).alias("n"))
+    some = new.withColumn("k", rank).where(F.col("k") <= sample).groupBy("user", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "canon"))), lambda x: x.canon).alias("sample"))
+    return count.join(some, ["user", "query"])
 
 
 def audit_tail(log: DataFrame, limit: int = 50, event: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,26 @@ from skarn.functions.text import tokens
 K1, B = 1.5, 0.75
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term,tf>> of a row's words: sorted, then each run's length."""
+
+    def runs(s: Column) -> Column:
+        edge = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda e: (e.at == 0) | (F.get(s, e.at - 1) != e.term))
+        length = lambda e, i, all_: (F.coalesce(F.get(all_, i + 1).at, F.size(s)) - e.at).alias("tf")
+        return F.transform(F.array(edge), lambda r: F.transform(r, lambda e, i: F.struct(e.term.alias("term"), length(e, i, r))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), lambda s: runs(s))[0]
+
+
 def postings(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, dl): counted inside each row, so a text's terms are never shuffled to be counted."""
+    """(term, id, tf, dl): counted inside each row, so nothing is shuffled."""
     t = texts.select(F.col(id_col).alias("id"), tokens(text_col).alias("t"))
-    each = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "id", "tf", "dl")
+    return t.select("id", F.size("t").alias("dl"), F.inline(counted(F.col("t")))).select("term", "id", "tf", "dl")
+
+
+def corpus_stats(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n, avg_len): one row; texts without tokens count as documents of length 0."""
+    return texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(tokens(text_col))), F.lit(0.0)).alias("avg_len"))
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -37,16 +53,17 @@ def _times(t: Column, word: str) -> Column:
 def bm25(texts: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score) of the best k texts; ties by id. Terms of the query count as often as they stand in it.
 
-    One pass over the texts: each row keeps its length and its counts of the query's terms, so nothing
-    but sums for the statistics is shuffled.
+    One pass over the texts: each row keeps its length and its counts of the query's terms, kept while the
+    sums of the statistics are taken and then the scores. The k hits are fetched at once.
     """
     want = query_terms(query)
     spark = texts.sparkSession
+    schema = f"id {dict(texts.dtypes)[id_col]}, score double"
     if not want:
-        return spark.createDataFrame([], f"id {dict(texts.dtypes)[id_col]}, score double")
+        return spark.createDataFrame([], schema)
     words = list(want)
     hit = F.transform(F.array(tokens(text_col)), lambda t: F.struct(F.size(t).alias("dl"), *[_times(t, w).alias(f"t{i}") for i, w in enumerate(words)]))[0]
-    rows = texts.select(F.col(id_col).alias("id"), hit.alias("h")).select("id", "h.*")
+    rows = texts.select(F.col(id_col).alias("id"), hit.alias("h")).select("id", "h.*").persist()
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.coalesce(F.sum((F.col(f"t{i}") > 0).cast("long")), F.lit(0)).alias(f"d{i}") for i in range(len(words))]).first()
     avg = max(s["avg"] or 0.0, 1.0)
     score = F.lit(0.0)
@@ -54,7 +71,9 @@ def bm25(texts: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col
         idf = math.log((s["n"] - s[f"d{i}"] + 0.5) / (s[f"d{i}"] + 0.5) + 1)
         tf = F.col(f"t{i}")
         score = score + want[w] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avg))
-    return rows.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+    top = rows.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k).collect()
+    rows.unpersist()
+    return spark.createDataFrame([tuple(r) for r in top], schema)
 
 
 def term_stats(posted: DataFrame, n: int) -> DataFrame:
@@ -102,6 +121,28 @@ def encode(text: Column, encoder: Callable[[list[str]], np.ndarray] | None = Non
     return run(text)
 
 
+def add_vectors(vectors: DataFrame, texts: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """vectors (id, embedding) and those of texts whose ids they lack."""
+    new = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(vectors.select("id"), "id", "left_anti")
+    return vectors.select("id", "embedding").unionByName(new.select("id", encode(F.col("text"), encoder).alias("embedding")))
+
+
+def within(seconds: float | None, call: Callable[[], object], otherwise: object = None) -> object:
+    """What call() returns, or ``otherwise`` if it fails or takes longer; None waits for ever.
+
+    A call that is late is left to end by itself; its result is dropped.
+    """
+    if seconds is None:
+        return call()
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout=seconds)
+    except Exception:  # late, or failed in any way
+        return otherwise
+    finally:
+        pool.shutdown(wait=False)
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, score): exact dot products, best k; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -137,13 +178,20 @@ def matches(filters: dict | None) -> Column:
 
 def search(
     chunks: DataFrame, docs: DataFrame, query: str, k: int = 15, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
-    w_text: float | None = None, w_vector: float | None = None, filters: dict | None = None, prefilter: bool = False,
+    w_text: float | None = None, w_vector: float | None = None, filters: dict | None = None, prefilter: bool = False, seconds: float | None = 10.0,
 ) -> DataFrame:
-    """The best k chunks with their documents. Filters act on the 2k best, so fewer may return; prefilter=True filters first."""
+    """The best k chunks with their documents. Filters act on the 2k best, so fewer may return; prefilter=True filters first.
+
+    The vector side, a list of 2k hits, is fetched within ``seconds``; if it fails or is late, text search
+    answers alone.
+    """
     if prefilter:
         chunks = chunks.join(docs.where(matches(filters)).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         vectors = vectors.join(chunks.select("id"), "id", "left_semi") if vectors is not None else None
-    side = vector_topk(vectors, query_vector, 2 * k) if vectors is not None and query_vector is not None else None
+    side = None
+    if vectors is not None and query_vector is not None:
+        hits = within(seconds, lambda: vector_topk(vectors, query_vector, 2 * k).collect())
+        side = chunks.sparkSession.createDataFrame([tuple(r) for r in hits], f"id {dict(vectors.dtypes)['id']}, score double") if hits is not None else None
     best = combined(bm25(chunks, query, 2 * k), side, w_text, w_vector).orderBy(F.desc("score"), "id").limit(2 * k)
     hits = chunks.join(F.broadcast(best), "id").join(docs.withColumnRenamed("id", "doc_id"), "doc_id").where(matches(filters))
     keep = [c for c in ("doc_id", "filename", "title", "year", "geography", "category", "source_type", "language", "trust", "page") if c in hits.columns]

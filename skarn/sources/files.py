@@ -18,6 +18,7 @@ from skarn.functions import text as T
 
 # fixed values: extensions that a scan keeps
 EXTENSIONS = (".pdf", ".docx", ".doc", ".docm", ".xlsx", ".xls", ".pptx", ".txt")
+#: Rows of a sheet that parse_xlsx() reads unless told otherwise; None reads all.
 XLSX_ROWS = 500
 #: Extension to a function from bytes to pages; callers may add or replace entries.
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {}
@@ -69,8 +70,8 @@ def parse_doc(raw: bytes) -> list[str]:
 
 
 @parser(".xlsx")
-def parse_xlsx(raw: bytes) -> list[str]:
-    """A page a sheet: at most 500 rows, cells joined by bars."""
+def parse_xlsx(raw: bytes, most: int | None = XLSX_ROWS) -> list[str]:
+    """A page a sheet: its first ``most`` rows (a parser of all rows: lambda raw: parse_xlsx(raw, None)), cells joined by bars."""
     z = zipfile.ZipFile(io.BytesIO(raw))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -80,7 +81,7 @@ def parse_xlsx(raw: bytes) -> list[str]:
     pages = []
     for title, name in zip(titles, sheets):
         lines = []
-        for row in [r for r in ElementTree.fromstring(z.read(name)).iter() if _local(r) == "row"][:XLSX_ROWS]:
+        for row in [r for r in ElementTree.fromstring(z.read(name)).iter() if _local(r) == "row"][:most]:
             cells = []
             for c in row:
                 value = next((v.text for v in c.iter() if _local(v) in ("v", "t") and v.text), None)
@@ -160,12 +161,21 @@ def ingest(spark: SparkSession, folder: str, max_docs: int | None = None, existi
     return documents(parse(files))
 
 
+# fixed values: stages that an upload passes, in order
+STAGES = ("upload", "recognition", "normalization", "extraction", "indexing")
+
+
 def upload_errors(files: DataFrame, most_bytes: int = 50 << 20, most_files: int = 10) -> DataFrame:
-    """(path, error) of files that an upload refuses; error is null for those it takes."""
-    from pyspark.sql import Window as W
+    """(path, error) of the files of an upload; error is null for those it takes: of known kind, not too large, among the first by path."""
+    first = files.select("path").orderBy("path").limit(most_files).withColumn("_in", F.lit(True))
+    bad = F.when(~extension("path").isin(*EXTENSIONS), "extension").when(F.col("length") > most_bytes, "size").when(F.col("_in").isNull(), "count")
+    return files.select("path", "length").join(F.broadcast(first), "path", "left").select("path", bad.alias("error"))
 
-    bad = F.when(~extension("path").isin(*EXTENSIONS), "extension").when(F.col("length") > most_bytes, "size").when(F.row_number().over(W.orderBy("path")) > most_files, "count")
-    return files.select("path", "length").orderBy("path").limit(100_000).select("path", bad.alias("error"))
+
+def upload_progress(events: DataFrame) -> DataFrame:
+    """(path, stage, done) from events (path, stage, at): the furthest stage that each file has reached and the share of all stages."""
+    place = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("stage"))
+    return events.groupBy("path").agg(F.max(place).alias("k")).where("k > 0").select("path", F.element_at(F.array(*[F.lit(x) for x in STAGES]), F.col("k").cast("int")).alias("stage"), (F.col("k") / len(STAGES)).alias("done"))
 
 
 def sniffed(content: Column | str) -> Column:
@@ -177,7 +187,13 @@ def sniffed(content: Column | str) -> Column:
     return out
 
 
-def joined_parts(files: DataFrame) -> DataFrame:
-    """(archive, content) of archives split into name.001, name.002 and so on."""
-    parts = files.withColumn("archive", F.regexp_extract("path", r"^(.*)\.\d{3}$", 1)).where("archive <> ''")
-    return parts.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("p")).select("archive", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x.content)).alias("content"))
+def joined_parts(files: DataFrame, most_bytes: int = 512 << 20) -> DataFrame:
+    """(archive, parts, length, content) of archives split into name.001, name.002 and so on.
+
+    An archive is parsed as one value, so one of more than ``most_bytes`` has no content, nor one that lacks a part.
+    """
+    at = files.select("path", "content", F.octet_length("content").cast("long").alias("length"), F.regexp_extract("path", r"^(.*)\.\d{3}$", 1).alias("archive"), F.regexp_extract("path", r"\.(\d{3})$", 1).cast("int").alias("k")).where("archive <> ''")
+    size = at.groupBy("archive").agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"), F.max("k").alias("last"))
+    whole = size.where((F.col("length") <= most_bytes) & (F.col("last") == F.col("parts"))).select("archive")
+    joined = at.join(whole, "archive", "left_semi").groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("k", F.hex("content").alias("h")))).alias("p"))
+    return size.join(joined, "archive", "left").select("archive", "parts", "length", F.unhex(F.array_join(F.transform("p", lambda x: x.h), "")).alias("content"))
