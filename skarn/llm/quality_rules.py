@@ -1,13 +1,16 @@
 """Quality rules in DataFrame functions only: base counts of each text, then a hashed n-gram ratio.
 
-Each word is folded to its shape (runs of lower-case letters, upper-case letters, digits and other
-signs), so that the ratio holds for every language. Shapes and pairs of neighbouring shapes are hashed
-to ``buckets`` counters. The verdict on a text is the mean over its n-grams of log(p_target / p_raw):
-p_target from the trusted texts, p_raw from all, both add-one smoothed multinomials. A text is kept if
-its base rules hold and the mean reaches the threshold; equal texts always get equal verdicts.
+The n-grams are the lower-case words and the pairs of neighbouring words, and the same of word shapes, to
+which rare words back off (a shape folds runs of lower-case letters, upper-case letters, digits and signs, so
+it holds for every language). They are hashed to ``buckets`` counters. The verdict on a text is the mean over
+its n-grams of log(p_target / p_raw): p_target from the trusted texts, p_raw from all, both add-one smoothed
+multinomials. A text is kept if its base rules hold and the mean reaches the threshold; equal texts always
+get equal verdicts.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; without
-trusted texts all ratios are 0; repeated rows each get a row; an empty table gives an empty result.
+trusted texts all ratios are 0; a mean that equals the threshold is kept; texts of any length are counted
+whole; repeated rows each get a row and count each; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,29 +57,37 @@ def covered(hashes: Column, width: int = 5) -> Column:
     return F.when(twice, let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), places)).otherwise(F.lit(0).cast("long"))
 
 
-def shapes(words: Column) -> Column:
-    """Each word's shape: lower-case runs a, upper-case runs A, digit runs 0, runs of one sign the sign twice."""
-    joined = F.array_join(words, " ")
-    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"[\p{Ll}\p{Lo}\p{M}]+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "0"), r"([^aA0 ])\1+", "$1$1")
-    return F.when(F.size(words) > 0, F.split(folded, " ")).otherwise(F.array().cast("array<string>"))
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def shapes(joined: Column) -> Column:
+    """Words joined by spaces as shapes: a lower-case letter is a, an upper-case one A, a digit 0, and a run of one sign is the sign twice."""
+    plain = F.translate(joined, _LOWER + _UPPER + _DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
+    wide = F.regexp_replace(F.regexp_replace(plain, r"[\p{Ll}\p{Lo}\p{M}&&[^a]]", "a"), r"[\p{Lu}&&[^A]]", "A")
+    return F.regexp_replace(F.when(F.rlike(plain, F.lit(r"[^\x00-\x7F]")), wide).otherwise(plain), r"([^ ])\1+", "$1$1")
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of the shapes and of the pairs of neighbouring shapes, each (g) with its count (c)."""
+    """Bucket numbers of the words, word pairs, shapes and shape pairs, each (g) with its count (c)."""
 
     def runs(g: Column) -> Column:
-        starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"), ((i == 0) | (F.get(g, i - 1) != x)).alias("new"))), lambda x: x.new)
+        starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))), lambda x: (x.i == 0) | (F.get(g, x.i - 1) != x.g))
         return let(starts, lambda s: F.transform(s, lambda x, i: F.struct(x.g.alias("g"), (F.coalesce(F.get(s, i + 1).i, F.size(g)) - x.i).alias("c"))))
 
-    def both(s: Column) -> Column:
-        one = F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    def both(s: Column, kind: int) -> Column:
+        one = F.transform(s, lambda w: F.pmod(F.xxhash64(w, F.lit(kind)), F.lit(buckets)).cast("int"))
         two = F.transform(s, lambda w, i: F.pmod(F.xxhash64(w, F.coalesce(F.get(s, i + 1), F.lit(""))), F.lit(buckets)).cast("int"))
-        return let(F.sort_array(F.concat(one, two)), runs)
+        return F.concat(one, two)
+
+    def of(joined: Column) -> Column:
+        plain = let(F.split(F.lower(joined), " "), lambda s: both(s, 1))
+        folded = let(F.split(shapes(joined), " "), lambda s: both(s, 2))
+        return let(F.sort_array(F.concat(plain, folded)), runs)
 
-    return let(shapes(words), both)
+    return F.when(F.size(words) > 0, let(F.array_join(words, " "), of)).otherwise(F.array().cast("array<struct<g:int,c:int>>"))
 
 
-def measure(docs: DataFrame, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, buckets: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, grams), written once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda s: (F.size(s) - F.size(F.array_distinct(s))).cast("long"))
@@ -99,20 +110,21 @@ def measure(docs: DataFrame, buckets: int = 4096, id_col: str = "doc_id", text_c
     return materialise(df.select("row", "doc_id", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "c.grams"), "measured")
 
 
-def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 4096) -> list[float]:
-    """log(p_target / p_raw) of each bucket; trusted has the doc_id of the trusted texts. At most ``buckets`` rows reach the driver."""
-    flag = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("t", F.lit(1))
-    each = measured.select("doc_id", "grams").join(flag, "doc_id", "left").select(F.inline("grams"), "t")
-    rows = each.groupBy("g").agg(F.sum("c").alias("raw"), F.coalesce(F.sum(F.when(F.col("t") == 1, F.col("c"))), F.lit(0)).alias("target")).collect()
-    all_raw, all_target = sum(r.raw for r in rows), sum(r.target for r in rows)
-    out = [0.0] * buckets
-    if all_target:
-        for r in rows:
-            out[r.g] = math.log((r.target + 1) / (all_target + buckets)) - math.log((r.raw + 1) / (all_raw + buckets))
-    return out
+def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 16384) -> list[float]:
+    """log(p_target / p_raw) of each bucket; trusted has the doc_id of the trusted texts. At most 2 ``buckets`` rows reach the driver."""
+
+    def counts(some: DataFrame) -> dict[int, int]:
+        return {r.g: r.n for r in some.select(F.inline("grams")).groupBy("g").agg(F.sum("c").alias("n")).collect()}
+
+    raw = counts(measured)
+    target = counts(measured.select("doc_id", "grams").join(trusted.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi"))
+    all_raw, all_target = sum(raw.values()), sum(target.values())
+    if not all_target:
+        return [0.0] * buckets
+    return [math.log((target.get(g, 0) + 1) / (all_target + buckets)) - math.log((raw.get(g, 0) + 1) / (all_raw + buckets)) for g in range(buckets)]
 
 
-def judge(measured: DataFrame, table: list[float], threshold: float = -0.1) -> DataFrame:
+def judge(measured: DataFrame, table: list[float], threshold: float = -0.05) -> DataFrame:
     """Adds llr, base_failed and kept."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a constant
     n = F.aggregate("grams", F.lit(0), lambda a, x: a + x.c)
@@ -121,7 +133,7 @@ def judge(measured: DataFrame, table: list[float], threshold: float = -0.1) -> D
     return measured.withColumn("llr", F.round(llr, 9)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 4096, threshold: float = -0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 16384, threshold: float = -0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base counts, ratio and verdict of every row of docs."""
     measured = measure(docs, buckets, id_col, text_col)
     return judge(measured, ratios(measured, trusted, buckets), threshold).select(
