@@ -33,12 +33,15 @@ SEED = frozenset("idiot idiots moron morons stupid trash scum loser losers pathe
 YOU = frozenset("you your yours youre u ur du dein deine dich dir ihr tu te toi ton ta vous votre tú usted ustedes vosotros".split())
 _WORD = re.compile(r"[^\W_]+")
 _MASKED = re.compile(r"[^\W\d_]+[*@$#!0-9]+[^\W\d_]+|[^\W\d_]\*{2,}")
-_LONG = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 # classes of bytes: 1 capital, 2 exclamation or question mark, 3 other punctuation, 4 digit
 _CLASS = np.zeros(256, np.uint8)
 for _bytes, _k in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"!?", 2), (b"\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~", 3), (b"0123456789", 4)):
     _CLASS[list(_bytes)] = _k
+# bytes that mask letters, and bytes of letters (every byte of a letter beyond ASCII is one)
+_SIGN, _LETTER = np.zeros(256, np.int8), np.zeros(256, bool)
+_SIGN[list(b"*@$#!0123456789")] = 1
+_LETTER[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = True
 STEMS = (4, 5, 6)
 
 
@@ -46,50 +49,86 @@ def stems(word: str) -> list[str]:
     return ["^" + word[:k] for k in STEMS if len(word) > k]
 
 
-def features(text: str, lexicon: dict[str, float], roots: frozenset[str]) -> list[float]:
-    """Dense features; roots: the first four letters of all stems in the lexicon."""
+class Words:
+    """A lexicon with what it says of each word; words met before are remembered, up to a bound."""
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        self.lexicon, self.roots = lexicon, roots_of(lexicon)
+        self.met: dict[str, tuple | None] = {}
+
+    def judge(self, w: str) -> tuple | None:
+        """(weight, is a seed, is in the lexicon, has a stem in it) of a word that any of these holds for."""
+        word, seed = self.lexicon.get(w), w in SEED
+        stem = [self.lexicon[s] for s in stems(w) if s in self.lexicon] if w[:4] in self.roots else []
+        value = word if word is not None else 3.0 if seed else None
+        got = (max(value or 0.0, *stem) if stem else value, seed, word is not None, bool(stem)) if value is not None or stem else None
+        if len(self.met) > 200_000:
+            self.met.clear()
+        self.met[w] = got
+        return got
+
+    def hits(self, words: set[str]) -> dict[str, tuple]:
+        met, out = self.met, {}
+        for w in words:
+            got = met.get(w, 0)
+            if got == 0:
+                got = self.judge(w)
+            if got:
+                out[w] = got
+        return out
+
+
+def long_runs(text: str) -> int:
+    """Runs of three or more of one letter."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = cp[1:] == cp[:-1]
+    three = same[1:] & same[:-1]
+    first = np.flatnonzero(three & ~np.r_[False, three[:-1]])
+    return sum(c.isalnum() and not c.isdecimal() for c in map(text.__getitem__, first.tolist()))
+
+
+def may_mask(raw: np.ndarray, text: str) -> bool:
+    """Whether some run of masking signs stands between letters, or two stars; other texts need not be searched."""
+    sign = _SIGN[raw]
+    edge = np.diff(sign, prepend=np.int8(0), append=np.int8(0))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # last: one past the run
+    inner = (first > 0) & (last < len(raw))
+    return bool((_LETTER[raw[first[inner] - 1]] & _LETTER[raw[last[inner]]]).any()) or "**" in text
+
+
+def features(text: str, known: Words) -> list[float]:
+    """Dense features of a text."""
     words = _WORD.findall(text.lower())
     n = len(words)
-    hits: dict[str, float] = {}
-    seeds, by_word, by_stem = set(), set(), set()
-    for w in set(words):
-        if w in lexicon:
-            by_word.add(w)
-            hits[w] = lexicon[w]
-        if w in SEED:
-            seeds.add(w)
-            hits.setdefault(w, 3.0)
-        if w[:4] in roots:
-            got = [lexicon[s] for s in stems(w) if s in lexicon]
-            if got:
-                by_stem.add(w)
-                hits[w] = max(hits.get(w, 0.0), *got)
-    masked = _MASKED.findall(text)
-    unmasked = sum(1 for m in masked if m.lower().translate(_LEET) in SEED or m.lower().translate(_LEET) in lexicon)
+    each = set(words)
+    hits = known.hits(each)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    masked = _MASKED.findall(text) if len(raw) and may_mask(raw, text) else []
+    unmasked = sum(1 for m in masked if (plain := m.lower().translate(_LEET)) in SEED or plain in known.lexicon)
     n_seed = n_word = n_stem = near = 0
     weight = top = 0.0
     if hits:
-        you = -100
-        last = -100
-        for k, w in enumerate(words):
+        you = last = -100
+        told = hits.keys() | (YOU & each)
+        for k, w in [(k, w) for k, w in enumerate(words) if w in told]:
             if w in YOU:
                 near += k - last <= 6
                 you = k
-            v = hits.get(w)
-            if v is not None:
-                n_seed += w in seeds
-                n_word += w in by_word
-                n_stem += w in by_stem
+            got = hits.get(w)
+            if got is not None:
+                v, seed, word, stem = got
+                n_seed += seed
+                n_word += word
+                n_stem += stem
                 weight += v
                 top = max(top, v)
                 near += k - you <= 6
                 last = k
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     kinds = np.bincount(_CLASS[raw], minlength=5) if len(raw) else np.zeros(5, np.int64)
     per, chars = n + 20.0, len(raw) + 100.0
     return [
         math.log1p(n), math.log1p(n_seed), math.log1p(n_word), math.log1p(n_stem), n_seed / per, n_word / per, n_stem / per, math.log1p(weight), weight / per, top,
-        len(hits), near, near / per, kinds[1] / chars, kinds[2] / chars, kinds[3] / chars, kinds[4] / chars, len(masked) / per, unmasked, len(_LONG.findall(text)) / per,
+        len(hits), near, near / per, kinds[1] / chars, kinds[2] / chars, kinds[3] / chars, kinds[4] / chars, len(masked) / per, unmasked, long_runs(text) / per,
     ]
 
 
@@ -99,11 +138,11 @@ def roots_of(lexicon: dict[str, float]) -> frozenset[str]:
 
 def featurise(docs: DataFrame, lexicon: dict[str, float], carry: str = "") -> DataFrame:
     """(doc_id, carried columns, x) of docs with doc_id and text."""
-    roots = roots_of(lexicon)
+    known = Words(lexicon)
     names = [c.split()[0] for c in carry.split(",") if c.strip()]
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(c) for c in ("doc_id", *names)} | {"x": [features(t or "", lexicon, roots) for t in batch.column("text").to_pylist()]}
+        return {c: batch.column(c) for c in ("doc_id", *names)} | {"x": [features(t or "", known) for t in batch.column("text").to_pylist()]}
 
     return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {carry + ', ' if carry else ''}x array<double>")
 
@@ -182,11 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 30_000) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs."""
-    lexicon, roots = model.lexicon, roots_of(model.lexicon)
+    known = Words(model.lexicon)
     ship(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> dict:
-        x = np.array([features(t or "", lexicon, roots) for t in batch.column("text").to_pylist()], float)
+        x = np.array([features(t or "", known) for t in batch.column("text").to_pylist()], float)
         return {"doc_id": batch.column("doc_id"), "score": model.score(x)}
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -197,12 +236,12 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     from collections.abc import Iterator
 
     ship(docs.sparkSession)
-    lexicon, roots = model.lexicon, roots_of(model.lexicon)
+    known = Words(model.lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array([features(t or "", lexicon, roots) for t in batch.column("text").to_pylist()], float)
+                x = np.array([features(t or "", known) for t in batch.column("text").to_pylist()], float)
                 yield batch.filter(pa.array(model.score(x) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
