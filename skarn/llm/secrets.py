@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_map, materialise
+from skarn.llm.common import arrow_map, materialise, meet
 
 #: Fixed kinds, in the order in which spans at one place are listed.
 BASE = ("assign", "access", "hex")
@@ -156,14 +156,21 @@ def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     return held.withColumn("live", ~example)
 
 
+def owned(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> tuple[DataFrame, int]:
+    """(hash, n, n_owners, live) of ownership(), written once, and the number of all candidates."""
+    held = materialise(ownership(scanned, max_owners).select("hash", F.col("n_found").alias("n"), "n_owners", "live"), "owners")
+    return held, held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) for each row: its spans, each with kind, start, end, n_owners and live.
 
     Kinds of BASE always stay, live or not; the others stay only if live.
     """
     scanned = scan(docs, owner, repository, id_col, text_col)
+    held, total = owned(scanned, max_owners)
     each = scanned.where(F.size("found") > 0).select("row", F.posexplode("found").alias("at", "f")).select("row", "at", "f.kind", "f.start", "f.end", "f.hash")
-    judged = each.join(ownership(scanned, max_owners), "hash").where(F.col("live") | F.col("kind").isin(*BASE))
+    judged = meet(each, held, "hash", total).where(F.col("live") | F.col("kind").isin(*BASE))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "start", "end", "n_owners", "live"))).alias("spans"))
     empty = F.array().cast("array<struct<at:int,kind:string,start:bigint,end:bigint,n_owners:bigint,live:boolean>>")
     return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("found"))
@@ -196,9 +203,9 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         mark = f"_{mark}"
     of_id, of_text = f"{mark}_id", f"{mark}_text"
     scanned = scan(docs)
-    live = ownership(scanned, max_owners).where("live").select("hash")
-    hot = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text), F.explode("found.hash").alias("hash"))
-    marked = hot.join(live, "hash").groupBy(of_id, of_text).agg(F.collect_set("hash").alias(mark))
+    held, total = owned(scanned, max_owners)
+    each = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text), F.explode("found.hash").alias("hash"))
+    marked = meet(each, held.where("live").select("hash", "n"), "hash", total).groupBy(of_id, of_text).agg(F.collect_set("hash").alias(mark))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
