@@ -13,7 +13,8 @@ asks that each token of the vocabulary encodes to itself, which ``Vocabulary.sou
 Leaves and windows, a few dozen characters each, are encoded by the tiktoken library's core.
 
 Defined results: null and empty texts have no tokens; one word of megabytes takes logarithmic depth;
-repeated rows each get a row; an empty table gives an empty result.
+of pairs of one rank the leftmost merges first; repeated rows each get a row; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

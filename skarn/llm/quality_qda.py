@@ -6,9 +6,11 @@ Mahalanobis distances with Cholesky factors that are taken once when the model i
 statistics and of their products are gathered over all labelled training rows in one aggregation whose
 result has a fixed size.
 
-Defined results: null and empty texts score as texts without words; ids labelled more than once take
-the lowest label; null labels are ignored; without both labels every score is the share of label 1
-(0.5 without any); repeated rows each get a row; an empty table gives an empty result.
+Defined results: null and empty texts score as texts without words; texts of any length are read whole;
+ids labelled more than once take the lowest label; null labels are ignored; without both labels every
+score is the share of label 1 (0.5 without any); equal texts get equal scores; repeated rows each get a row
+and, if labelled, count each; an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
