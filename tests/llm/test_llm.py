@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -491,6 +492,43 @@ def test_rules_against_brute_force(spark, texts, odd):
         assert not any(r.kept and r.base_failed for r in got)
 
 
+def plain_grams(text, buckets):
+    words = PLAIN.findall(text or "")
+    joined = " ".join(words)
+    fold = regex.sub(r"[\p{Ll}\p{Lo}\p{M}]", "a", regex.sub(r"\p{Lu}", "A", regex.sub("[0-9]", "0", joined)))
+    fold = re.sub(r"([^ ])\1+", r"\1\1", fold)
+    hashed = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    out = Counter()
+    for kind, row in ((1, joined.lower().split(" ")), (2, fold.split(" "))):
+        if words:
+            out.update(signed(xxhash_int(kind, hashed(w, 42))) % buckets for w in row)
+            out.update(signed(hashed(b, hashed(a, 42))) % buckets for a, b in zip(row, [*row[1:], ""]))
+    return out
+
+
+def xxhash_int(value, seed):
+    """XXH64 of one 32-bit integer."""
+    return xxhash.xxh64_intdigest(value.to_bytes(4, "little"), seed)
+
+
+def test_ratio_and_verdict_against_brute_force(spark, texts):
+    rows = texts + [(10**6 + k, t) for k, t in enumerate(["Ärger über ÉTÉ 12,5 %% !!! " * 4, None, "", "x", "日本語 のテキスト 🙂🙂 a b c d e f g h i", *["Copy of A copy 7 of a cOpy. " * 3] * 3])]
+    trusted = [i for i, _ in rows if i % 3 == 0]
+    for buckets in (16384, 64):
+        grams = {i: plain_grams(t, buckets) for i, t in rows}
+        raw, target = sum(grams.values(), Counter()), sum((grams[i] for i in trusted), Counter())
+        n, m = sum(raw.values()), sum(target.values())
+        weight = lambda g: math.log((target[g] + 1) / (m + buckets)) - math.log((raw[g] + 1) / (n + buckets))  # noqa: E731, B023
+        got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), buckets)
+        got = {r.doc_id: r for r in got.collect()}
+        for i, text in rows:
+            llr = sum(weight(g) * c for g, c in grams[i].items()) / max(1, sum(grams[i].values()))
+            assert math.isclose(got[i].llr, llr, abs_tol=1e-5), (i, text)
+            if abs(llr + 0.05) > 1e-4:
+                assert got[i].kept == (llr >= -0.05 and not plain_rules(text)[-1])
+
+
 def test_rules_agree_with_the_labels(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in queries.op8_quality_rules(spark, "/root/testdata/sf0.01").collect() if r.doc_id in quality and r.n_words >= 10]
@@ -579,6 +617,19 @@ def test_native_operators_run_no_python(spark, module):
     assert not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
+@pytest.mark.parametrize("module,query", [(quality_rules, "op8_quality_rules"), (license_scan, "op9_license_scan")])
+def test_no_python_in_what_native_operators_write_and_return(spark, monkeypatch, module, query):
+    plans, write = [], module.materialise
+
+    def watched(df, *more):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, *more)
+
+    monkeypatch.setattr(module, "materialise", watched)
+    plans.append(queries.QUERIES[query](spark, SMALL)._jdf.queryExecution().toString())
+    assert len(plans) >= 2 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
 def test_captures_join_what_they_name(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "x" * 2000), (2, "http://b", "x" * 2000), (3, "http://c", "y")], "page_id long, url string, html string")
     for gzip in (True, False):
@@ -699,6 +750,40 @@ def test_isotonic_is_the_best_monotone_fit():
     assert (np.diff(model(np.linspace(-3, 3, 100))) >= 0).all()
 
 
+def plain_features(text, lexicon):
+    """The features that words and signs give, by plain searches."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    of = lambda w: [lexicon[s] for s in toxicity.stems(w) if s in lexicon]
+    value = {w: max([lexicon.get(w, 3.0 if w in toxicity.SEED else 0.0), *of(w)]) for w in set(words) if w in lexicon or w in toxicity.SEED or of(w)}
+    near, you, last = 0, -100, -100
+    for k, w in enumerate(words):
+        if w in toxicity.YOU:
+            near += k - last <= 6
+            you = k
+        if w in value:
+            near += k - you <= 6
+            last = k
+    near = near if value else 0
+    masked = re.findall(r"[^\W\d_]+[*@$#!0-9]+[^\W\d_]+|[^\W\d_]\*{2,}", text)
+    plain = [m.lower().translate(str.maketrans("013457@$!", "oieastasi")) for m in masked]
+    per, hit = len(words) + 20.0, [w for w in words if w in value]
+    return [
+        math.log1p(sum(w in toxicity.SEED for w in words)), math.log1p(sum(w in lexicon for w in words)), math.log1p(sum(bool(of(w)) for w in words)), math.log1p(sum(value[w] for w in hit)), max((value[w] for w in hit), default=0.0),
+        len(value), near, len(masked) / per, sum(m in toxicity.SEED or m in lexicon for m in plain), len(re.findall(r"([^\W\d_])\1{2,}", text)) / per,
+    ]
+
+
+def test_toxicity_features_against_plain_searches(texts):
+    rng = np.random.default_rng(11)
+    lexicon = {"badly": 2.5, "^wret": 3.5, "^wretc": 4.0, "idiot": 2.0, "ther": 2.2, "^ther": 2.1}
+    parts = ["you", "idiot", "1d1ot", "id**", "badly", "wretched", "wret", " ", " ", "!!!", "aaa", "ééé", "²²²", "777", "x_y", "a1b2c", "ß@ß", "**", "T3xt", "ДААА", "_", "\n", "clown"]
+    some = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(600)] + [t for _, t in texts[:60]] + [""]
+    known = toxicity.Words(lexicon)
+    for text in some + some[:50]:
+        got = toxicity.features(text, known)
+        assert np.allclose([got[k] for k in (1, 2, 3, 7, 9, 10, 11, 17, 18, 19)], plain_features(text, lexicon)), text
+
+
 def test_toxicity_calibrates_at_every_size_and_however_rows_are_dealt(spark):
     for sf in (SMALL, "/root/testdata/sf0.01"):
         docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -752,3 +837,39 @@ def test_pipeline_against_its_parts(spark, library, texts):
     same = [i for i in clean if got[i].ids_sha256 == hashlib.sha256(np.array(library.encode_ordinary(text[i]), "<u4").tobytes()).hexdigest()]
     assert len(same) > 0.95 * len(clean)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "secret scans", "byte-level bpe"]
+
+
+def test_pipeline_stages_against_brute_force(spark, library, texts):
+    """Every stage but the toxicity model by plain code, to the last token id."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    about = {r.doc_id: r for r in docs.collect()}
+    left = {r.doc_id: r.text for r in corpus_pipeline.not_toxic(spark, docs, SMALL).collect()}
+    fps = {i: plain_fingerprint(t) for i, t in left.items()}
+    group = {}
+    for i in sorted(left):  # ids rise, so a new id is the smallest of its group unless it reaches an older one
+        todo = [i] if i not in group else []
+        while todo:
+            k = todo.pop()
+            group[k] = i
+            todo += [j for j in left if j not in group and (fps[j] ^ fps[k]).bit_count() <= 4]
+    left = {i: t for i, t in left.items() if group[i] == i}
+    items = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    words = {i: decontaminate.words_of(t) for i, t in left.items()}
+    dirty = {i for i, w in words.items() for item in items if shingles(w) & shingles(item) and plain_similarity(w, item) >= 0.8}
+    left = {i: t for i, t in left.items() if i not in dirty}
+    held = defaultdict(set)
+    for i, t in left.items():
+        for _, _, _, v in plain_candidates(t):
+            held[v].add((about[i].source, about[i].lang, t))
+    owners, places, copies = ({v: len({f(x) for x in h}) for v, h in held.items()} for f in (lambda x: x[0], lambda x: x[:2], lambda x: x[2]))
+    live = {v for v in held if not (owners[v] > 4 or owners[v] > 1 and places[v] >= 5 and copies[v] >= 5)}
+    want = {}
+    for i, t in left.items():
+        end = len(t)
+        for kind, a, b, v in reversed(plain_candidates(t)):
+            if b <= end and v in live:
+                t, end = f"{t[:a]}<{kind.upper()}>{t[b:]}", a
+        want[i] = np.array(library.encode_ordinary(t), "<u4").tobytes()
+    assert dirty and live and any(want[i] != np.array(library.encode_ordinary(left[i]), "<u4").tobytes() for i in left)
+    assert {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
