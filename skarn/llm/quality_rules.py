@@ -124,7 +124,7 @@ def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 16384) -> lis
     return [math.log((target.get(g, 0) + 1) / (all_target + buckets)) - math.log((raw.get(g, 0) + 1) / (all_raw + buckets)) for g in range(buckets)]
 
 
-def judge(measured: DataFrame, table: list[float], threshold: float = -0.05) -> DataFrame:
+def judge(measured: DataFrame, table: list[float], threshold: float = -0.1) -> DataFrame:
     """Adds llr, base_failed and kept."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a constant
     n = F.aggregate("grams", F.lit(0), lambda a, x: a + x.c)
@@ -133,7 +133,7 @@ def judge(measured: DataFrame, table: list[float], threshold: float = -0.05) ->
     return measured.withColumn("llr", F.round(llr, 9)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 16384, threshold: float = -0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 16384, threshold: float = -0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base counts, ratio and verdict of every row of docs."""
     measured = measure(docs, buckets, id_col, text_col)
     return judge(measured, ratios(measured, trusted, buckets), threshold).select(
