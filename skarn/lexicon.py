@@ -68,25 +68,35 @@ SYNONYMS = {
     "so2": ["сернистый газ", "sulfur dioxide"],
     "холодный климат": ["cold climate", "arctic", "крайний север"],
 }
-# fixed values: keywords of each entity type
-MATERIALS = (
-    "никель nickel медь copper кобальт cobalt золото gold серебро silver платина platinum палладий palladium железо iron цинк zinc свинец lead хром chromium литий lithium "
-    "сульфид sulfide оксид oxide сульфат sulfate хлорид chloride гипс gypsum штейн matte шлак slag концентрат concentrate руда ore хвосты tailings католит catholyte анолит anolyte"
-).split()
-PROCESSES = (
-    "электроэкстракция electrowinning выщелачивание leaching флотация flotation плавка smelting обжиг roasting обогащение beneficiation сорбция sorption экстракция extraction "
-    "цементация cementation очистка purification обессоливание desalination фильтрация filtration сушка drying измельчение grinding агломерация agglomeration "
-    "брикетирование briquetting обеднение depletion"
-).split()
-EQUIPMENT = "ванна cell печь furnace конвертер converter мельница mill флотомашина электролизер reactor диафрагма diaphragm насос pump".split()
+# fixed values: keywords of materials
+MATERIALS = [
+    "никель", "nickel", "медь", "copper", "кобальт", "cobalt", "золото", "gold", "серебро", "silver", "платина", "platinum", "палладий", "palladium", "железо", "iron", "цинк",
+    "zinc", "свинец", "lead", "хром", "chromium", "литий", "lithium", "сульфид", "sulfide", "оксид", "oxide", "сульфат", "sulfate", "хлорид", "chloride", "гипс", "gypsum", "штейн",
+    "matte", "шлак", "slag", "концентрат", "concentrate", "руда", "ore", "хвосты", "tailings", "католит", "catholyte", "анолит", "anolyte",
+]
+# fixed values: keywords of processes
+PROCESSES = [
+    "электроэкстракция", "electrowinning", "выщелачивание", "leaching", "флотация", "flotation", "плавка", "smelting", "обжиг", "roasting", "обогащение", "beneficiation",
+    "сорбция", "sorption", "экстракция", "extraction", "цементация", "cementation", "очистка", "purification", "обессоливание", "desalination", "фильтрация", "filtration", "сушка",
+    "drying", "измельчение", "grinding", "агломерация", "agglomeration", "брикетирование", "briquetting", "обеднение", "depletion",
+]
+# fixed values: keywords of equipment
+EQUIPMENT = [
+    "ванна", "cell", "печь", "furnace", "конвертер", "converter", "мельница", "mill", "флотомашина", "электролизер", "reactor", "диафрагма", "diaphragm", "насос", "pump",
+]
+# fixed values: keywords of parameters
 PARAMETERS = [
     "температура", "temperature", "скорость", "velocity", "speed", "flow rate", "концентрация", "concentration", "давление", "pressure", "плотность", "density", "напряжение", "voltage",
     "ток", "current", "ph", "расход", "производительность", "capacity", "выход", "recovery", "извлечение", "степень", "efficiency", "кпд",
 ]
 # fixed values: units
-UNITS = "мг/л mg/l мг/дм³ г/л g/l % °c °с м/с m/s л/мин l/min м³/ч m³/h т/сут t/day bar атм в v а a ка ka мс ms с мин ч руб/м³ руб/т $/t usd/t моль/л mol/l".split()
-# fixed values: markers of home and foreign sources
+UNITS = [
+    "мг/л", "mg/l", "мг/дм³", "г/л", "g/l", "%", "°c", "°с", "м/с", "m/s", "л/мин", "l/min", "м³/ч", "m³/h", "т/сут", "t/day", "bar", "атм", "в", "v", "а", "a", "ка", "ka", "мс",
+    "ms", "с", "мин", "ч", "руб/м³", "руб/т", "$/t", "usd/t", "моль/л", "mol/l",
+]
+# fixed values: markers of home sources
 HOME = ["росс", "russia", "норильск", "норникель", "nornickel", "жкз", "комсомольский", "надежда", "заполярный", "талнах", "рудник", "шахта", "цвметмет", "цветные металлы"]
+# fixed values: markers of foreign sources
 FOREIGN = [
     "australia", "австралия", "canada", "канада", "chile", "чили", "new caledonia", "новая каледония", "finland", "финляндия", "china", "китай", "japan", "япония",
     "usa", "сша", "zambia", "замби", "congo", "конго",

@@ -162,9 +162,9 @@ def find_entities(node: DataFrame, type: str | None = None, name: str | None = N
 def neighbours(edge: DataFrame, id: str, depth: int = 2, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, distance) within depth, nearest first then by id, at most limit; and the edges among them.
 
-    One plan: each step joins the edges with the nodes that the step before reached; no ids pass through
-    the driver. A node counts with its first step. Since cutting is by distance, what a cut node would
-    have reached would be cut as well.
+    Each step joins the edges with the nodes that the step before reached; no ids pass through the driver.
+    A node counts with its first step. Since cutting is by distance, what a cut node would have reached
+    would be cut as well. Steps are kept while later ones use them (cached; computed again where lost).
     """
     both = edge.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edge.select("dst", "src"))
     start = both.where(F.col("id") == id)
@@ -172,8 +172,9 @@ def neighbours(edge: DataFrame, id: str, depth: int = 2, limit: int = 50) -> tup
     found = reached.select("id", F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
         reached = (start if d == 1 else both.join(reached, "id", "left_semi")).select(F.col("other").alias("id")).distinct()
+        reached = reached.persist() if d < depth else reached
         found = found.union(reached.select("id", F.lit(d)))
-    near = found.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(limit)
+    near = found.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(limit).persist()
     ids = near.select("id")
     return near, edge.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
 

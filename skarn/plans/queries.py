@@ -92,8 +92,8 @@ def authors(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.array_join(T.authors("text"), "|").alias("authors"))
 
 
-_CHUNKS = """
-WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', E'\\n\\n', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+_CHUNKED = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', E'\\n\\n', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM SOURCE),
 c(doc_id, a, e) AS (SELECT doc_id, 0, CAST(0 AS BIGINT) FROM d WHERE t <> '' UNION ALL
 SELECT doc_id, a, CASE WHEN a + 1200 >= n THEN n WHEN s1 > 0 THEN a + 1000 + s1 WHEN s2 > 0 THEN a + 1000 + s2 WHEN s3 > 0 THEN a + 1000 + s3 ELSE a + 1200 END FROM (
 SELECT doc_id, a, n, length(regexp_extract(w, '(?s)^.*[.!?]\\s+')) AS s1, length(regexp_extract(w, '(?s)^.*\\n\\n')) AS s2, length(regexp_extract(w, '(?s)^.*\\n')) AS s3
@@ -101,6 +101,7 @@ FROM (SELECT d.doc_id, b.a, length(t) AS n, substr(t, b.a + 1001, 250) AS w FROM
 p AS (SELECT c.doc_id, a, CASE WHEN e = length(t) AND a + 1200 >= length(t) THEN substr(t, a + 1) ELSE regexp_replace(substr(t, a + 1, e - a), '^\\s+|\\s+$', '', 'g') END AS text FROM c JOIN d ON c.doc_id = d.doc_id WHERE e > 0),
 r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS idx, text FROM p WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50)
 """
+_CHUNKS = _CHUNKED.replace("SOURCE", "documents")
 
 
 @query(_CHUNKS + "SELECT printf('%d_%04d', doc_id, idx) AS id, doc_id, idx, CAST(NULL AS INTEGER) AS page, text FROM r")
@@ -108,6 +109,18 @@ def chunks(spark, sf):
     return chunking.chunk_pages(t(spark, sf, "documents").select("doc_id", F.array("text").alias("pages")))
 
 
+@query(
+    # pages as documents of their own, then one numbering over the pages of a document
+    _CHUNKED.replace("SOURCE", "(SELECT doc_id * 2 AS doc_id, text FROM documents UNION ALL SELECT doc_id * 2 + 1, 'Second page of ' || doc_id || '. ' || substr(text, 1, 2000) FROM documents WHERE doc_id % 3 = 0)")
+    + """, o AS (SELECT doc_id // 2 AS doc_id, doc_id % 2 + 1 AS page, text, CAST(row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id % 2, idx) - 1 AS INTEGER) AS idx FROM r)
+SELECT printf('%d_%04d', doc_id, idx) AS id, doc_id, idx, CAST(CASE WHEN doc_id % 3 = 0 THEN page END AS INTEGER) AS page, text FROM o"""
+)
+def chunk_pages(spark, sf):
+    second = F.concat(F.lit("Second page of "), F.col("doc_id").cast("string"), F.lit(". "), F.substring("text", 1, 2000))
+    pages = F.when(F.col("doc_id") % 3 == 0, F.array(F.col("text"), second)).otherwise(F.array("text"))
+    return chunking.chunk_pages(t(spark, sf, "documents").select("doc_id", pages.alias("pages")))
+
+
 # --- search ---
 
 
@@ -267,16 +280,17 @@ def document_edges(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT *, doc_id || '-' || (1970 + doc_id % 60) || '.txt' AS filename FROM documents)
+WITH f AS (SELECT *, doc_id || '-' || (1970 + doc_id % 60) || CASE WHEN doc_id % 7 = 0 THEN '-China' WHEN doc_id % 7 = 1 THEN '-Норильск' ELSE '' END || '.txt' AS filename FROM documents)
 SELECT substr(md5('x/' || CASE WHEN doc_id % 2 = 0 THEN 'Обзоры' ELSE 'other' END || '/' || filename), 1, 16) AS id, filename, CASE WHEN doc_id % 2 = 0 THEN 'review' ELSE 'report' END AS category, CASE WHEN doc_id % 2 = 0 THEN 'review' ELSE 'internal_report' END AS source_type,
   CAST(coalesce(nullif(regexp_extract(filename, '(20[0-2][0-9]|19[89][0-9])', 1), ''), nullif(regexp_extract(substr(text, 1, 3000), '(20[0-2][0-9]|19[89][0-9])', 1), '')) AS INTEGER) AS year,
-  CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS num_pages, CAST(length(text) + CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 0 END AS INTEGER) AS text_length, 4 AS trust
-FROM f WHERE length(regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN E'\n\nmore' ELSE '' END, '^\\s+|\\s+$', '', 'g')) >= 100""")
+  CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS num_pages, CAST(length(text) + CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 0 END AS INTEGER) AS text_length, 4 AS trust,
+  CASE WHEN h AND g THEN 'Global' WHEN h THEN 'Russia' WHEN g THEN 'Foreign' ELSE 'Unknown' END AS geography, CASE WHEN length(regexp_replace(text, '[^\\x{0400}-\\x{04ff}]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS language
+FROM (SELECT *, regexp_matches(lower(text || ' ' || filename), 'russia|nornickel|норильск') AS h, regexp_matches(lower(text || ' ' || filename), 'australia|canada|chile|new caledonia|finland|china|japan|usa|zambia|congo') AS g FROM f) WHERE length(regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN E'\n\nmore' ELSE '' END, '^\\s+|\\s+$', '', 'g')) >= 100""")
 def assembled_documents(spark, sf):
     k = F.col("doc_id")
-    path = F.concat(F.lit("x/"), F.when(k % 2 == 0, "Обзоры").otherwise("other"), F.lit("/"), k.cast("string"), F.lit("-"), (1970 + k % 60).cast("string"), F.lit(".txt"))
+    path = F.concat(F.lit("x/"), F.when(k % 2 == 0, "Обзоры").otherwise("other"), F.lit("/"), k.cast("string"), F.lit("-"), (1970 + k % 60).cast("string"), F.when(k % 7 == 0, "-China").when(k % 7 == 1, "-Норильск").otherwise(""), F.lit(".txt"))
     pages = F.when(k % 3 == 0, F.array(F.col("text"), F.lit("more"))).otherwise(F.array("text"))
-    return files.documents(t(spark, sf, "documents").select(path.alias("path"), pages.alias("pages"))).select("id", "filename", "category", "source_type", "year", "num_pages", "text_length", "trust")
+    return files.documents(t(spark, sf, "documents").select(path.alias("path"), pages.alias("pages"))).select("id", "filename", "category", "source_type", "year", "num_pages", "text_length", "trust", "geography", "language")
 
 
 # --- graph over the star schema: nations and customers, suppliers and parts ---
@@ -697,12 +711,12 @@ def bm25_stored_index(spark, sf):
 b AS (SELECT id, score FROM f ORDER BY score DESC, id LIMIT 30), v AS (SELECT e.vec_id AS id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 30),
 c AS (SELECT coalesce(b.id, v.id) AS id, 0.4 * coalesce(b.score / (SELECT max(score) FROM b), 0) + 0.6 * coalesce(v.score / (SELECT max(score) FROM v), 0) AS score FROM b FULL OUTER JOIN v ON b.id = v.id ORDER BY 2 DESC, 1 LIMIT 30)
 SELECT c.id AS chunk_id, doc_id, substr(text, 1, 500) AS text, round(score, 4) AS score, lang AS language, source AS source_type FROM c JOIN documents ON c.id = doc_id
-WHERE lang = 'en' AND source IN (SELECT 'src' || i FROM range(15) r(i)) AND (doc_id % 3 = 0 OR 1990 + doc_id % 30 >= 1995) ORDER BY round(score, 4) DESC, c.id LIMIT 15"""
+WHERE lang = 'en' AND source IN (SELECT 'src' || i FROM range(15) r(i)) AND doc_id % 4 < 3 AND (doc_id % 3 = 0 OR 1990 + doc_id % 30 >= 1995) ORDER BY round(score, 4) DESC, c.id LIMIT 15"""
 )
 def hybrid_search(spark, sf):
     d, e, k = t(spark, sf, "documents"), t(spark, sf, "embeddings"), F.col("doc_id")
-    meta = d.select(k.alias("id"), F.col("lang").alias("language"), F.col("source").alias("source_type"), F.when(k % 3 != 0, (1990 + k % 30).cast("int")).alias("year"))
-    want = {"language": "en", "source_type": [f"src{i}" for i in range(15)], "year_from": 1995}
+    meta = d.select(k.alias("id"), F.col("lang").alias("language"), F.col("source").alias("source_type"), F.when(k % 3 != 0, (1990 + k % 30).cast("int")).alias("year"), F.concat(F.lit("g"), (k % 4).cast("string")).alias("geography"))
+    want = {"language": "en", "geography": ["g0", "g1", "g2"], "source_type": [f"src{i}" for i in range(15)], "year_from": 1995}
     vectors = e.select(F.col("vec_id").alias("id"), "embedding")
     got = search.search(d.select(k.alias("id"), "doc_id", "text"), meta, "the and there", 15, vectors, e.where("vec_id = 0").first().embedding, filters=want)
     return got.select("chunk_id", "doc_id", "text", "score", "language", "source_type")
@@ -808,6 +822,15 @@ def ocr_cleanup(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(T.ocr_normalised("text").cast("binary")).alias("md5"))
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'никель и медь ' || p_name WHEN 1 THEN 'ОРЕХ ' || p_name ELSE 'coal ' || p_name END AS text, CASE p_partkey % 3 WHEN 0 THEN 'Иванов И.И.|Smith A.' WHEN 1 THEN 'Петров П' ELSE '' END AS authors FROM part""")
+def lookalikes_and_names(spark, sf):
+    k = F.col("p_partkey") % 3
+    scanned = F.when(k == 0, "ни-\nкeль  и\tмeдь ").when(k == 1, "OРEХ ").otherwise("coal ")
+    signed = F.when(k == 0, "Иванов И.И., Smith A.\nOther O").when(k == 1, "no name\nПетров П\n").otherwise("none here\n")
+    return t(spark, sf, "part").select("p_partkey", T.ocr_normalised(F.concat(scanned, F.col("p_name"))).alias("text"), F.array_join(T.authors(signed), "|").alias("authors"))
+
+
 @query("SELECT c_custkey, '2024-01-31-' || regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') || '.md' AS name FROM customer")
 def export_names(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", T.file_slug("c_name", F.lit("2024-01-31"), "md").alias("name"))
