@@ -1,11 +1,11 @@
 """Quality rules in DataFrame functions only: base counts of each text, then a hashed n-gram ratio.
 
-The n-grams are the lower-case words and the pairs of neighbouring words, and the same of word shapes, to
-which rare words back off (a shape folds runs of lower-case letters, upper-case letters, digits and signs, so
-it holds for every language). They are hashed to ``buckets`` counters. The verdict on a text is the mean over
-its n-grams of log(p_target / p_raw): p_target from the trusted texts, p_raw from all, both add-one smoothed
-multinomials. A text is kept if its base rules hold and the mean reaches the threshold; equal texts always
-get equal verdicts.
+The n-grams are the lower-case words, and word shapes and pairs of neighbouring shapes, to which rare words
+and pairs of words back off (a shape folds runs of lower-case letters, upper-case letters, digits and signs,
+so it holds for every language). They are hashed to ``buckets`` counters. The verdict on a text is the mean
+over its n-grams of log(p_target / p_raw): p_target from the trusted texts, p_raw from all, both add-one
+smoothed multinomials. A text is kept if its base rules hold and the mean reaches the threshold; equal texts
+always get equal verdicts.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; without
 trusted texts all ratios are 0; a mean that equals the threshold is kept; texts of any length are counted
@@ -57,34 +57,36 @@ def covered(hashes: Column, width: int = 5) -> Column:
     return F.when(twice, let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), places)).otherwise(F.lit(0).cast("long"))
 
 
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-
-
 def shapes(joined: Column) -> Column:
-    """Words joined by spaces as shapes: a lower-case letter is a, an upper-case one A, a digit 0, and a run of one sign is the sign twice."""
-    plain = F.translate(joined, _LOWER + _UPPER + _DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
-    wide = F.regexp_replace(F.regexp_replace(plain, r"[\p{Ll}\p{Lo}\p{M}&&[^a]]", "a"), r"[\p{Lu}&&[^A]]", "A")
-    return F.regexp_replace(F.when(F.rlike(plain, F.lit(r"[^\x00-\x7F]")), wide).otherwise(plain), r"([^ ])\1+", "$1$1")
+    """Words joined by spaces as shapes: lower-case runs a, upper-case runs A, digit runs 0, runs of one sign the sign twice."""
+    letters = F.regexp_replace(F.regexp_replace(joined, r"[\p{Ll}\p{Lo}\p{M}]+", "a"), r"\p{Lu}+", "A")
+    return F.regexp_replace(F.regexp_replace(letters, r"\p{Nd}+", "0"), r"([^aA0 ])\1+", "$1$1")
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of the words, word pairs, shapes and shape pairs, each (g) with its count (c)."""
+    """Bucket numbers g of the words, shapes and shape pairs with their counts c, each packed into one number c * buckets + g.
+
+    (A list of structs takes 32 bytes an entry in a shuffle, a list of numbers 8.)
+    """
 
     def runs(g: Column) -> Column:
-        starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))), lambda x: (x.i == 0) | (F.get(g, x.i - 1) != x.g))
-        return let(starts, lambda s: F.transform(s, lambda x, i: F.struct(x.g.alias("g"), (F.coalesce(F.get(s, i + 1).i, F.size(g)) - x.i).alias("c"))))
+        starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"), ((i == 0) | (F.get(g, i - 1) != x)).alias("new"))), lambda x: x.new)
+        return let(starts, lambda s: F.transform(s, lambda x, i: (F.coalesce(F.get(s, i + 1).i, F.size(g)) - x.i).cast("long") * buckets + x.g))
 
-    def both(s: Column, kind: int) -> Column:
-        one = F.transform(s, lambda w: F.pmod(F.xxhash64(w, F.lit(kind)), F.lit(buckets)).cast("int"))
-        two = F.transform(s, lambda w, i: F.pmod(F.xxhash64(w, F.coalesce(F.get(s, i + 1), F.lit(""))), F.lit(buckets)).cast("int"))
-        return F.concat(one, two)
+    def placed(h: Column) -> Column:
+        return F.pmod(h, F.lit(buckets)).cast("int")
 
     def of(joined: Column) -> Column:
-        plain = let(F.split(F.lower(joined), " "), lambda s: both(s, 1))
-        folded = let(F.split(shapes(joined), " "), lambda s: both(s, 2))
+        plain = F.transform(F.split(F.lower(joined), " "), lambda w: placed(F.xxhash64(w, F.lit(1))))
+        folded = let(F.split(shapes(joined), " "), lambda s: F.concat(F.transform(s, lambda w: placed(F.xxhash64(w))), F.transform(s, lambda w, i: placed(F.xxhash64(w, F.coalesce(F.get(s, i + 1), F.lit("")))))))
         return let(F.sort_array(F.concat(plain, folded)), runs)
 
-    return F.when(F.size(words) > 0, let(F.array_join(words, " "), of)).otherwise(F.array().cast("array<struct<g:int,c:int>>"))
+    return F.when(F.size(words) > 0, let(F.array_join(words, " "), of)).otherwise(F.array().cast("array<bigint>"))
+
+
+def unpacked(v: Column, buckets: int) -> tuple[Column, Column]:
+    """The bucket number and the count in an entry of grams()."""
+    return F.pmod(v, F.lit(buckets)).cast("int"), ((v - F.pmod(v, F.lit(buckets))) / buckets).cast("long")
 
 
 def measure(docs: DataFrame, buckets: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,10 +116,12 @@ def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 16384) -> lis
     """log(p_target / p_raw) of each bucket; trusted has the doc_id of the trusted texts. At most 2 ``buckets`` rows reach the driver."""
 
     def counts(some: DataFrame) -> dict[int, int]:
-        return {r.g: r.n for r in some.select(F.inline("grams")).groupBy("g").agg(F.sum("c").alias("n")).collect()}
+        g, c = unpacked(F.col("v"), buckets)
+        return {r.g: r.n for r in some.select(F.explode("grams").alias("v")).groupBy(g.alias("g")).agg(F.sum(c).alias("n")).collect()}
 
     raw = counts(measured)
-    target = counts(measured.select("doc_id", "grams").join(trusted.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi"))
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().hint("merge")  # they grow with the input: never broadcast
+    target = counts(measured.select("doc_id", "grams").join(ids, "doc_id", "left_semi"))
     all_raw, all_target = sum(raw.values()), sum(target.values())
     if not all_target:
         return [0.0] * buckets
@@ -127,8 +131,9 @@ def ratios(measured: DataFrame, trusted: DataFrame, buckets: int = 16384) -> lis
 def judge(measured: DataFrame, table: list[float], threshold: float = -0.1) -> DataFrame:
     """Adds llr, base_failed and kept."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a constant
-    n = F.aggregate("grams", F.lit(0), lambda a, x: a + x.c)
-    llr = F.when(n > 0, F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get(weights, x.g) * x.c) / n).otherwise(F.lit(0.0))
+    of = lambda x: unpacked(x, len(table))
+    n = 3 * F.col("n_words")  # a word, a shape and a pair of shapes for each word
+    llr = F.when(n > 0, F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get(weights, of(x)[0]) * of(x)[1]) / n).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("llr", F.round(llr, 9)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
