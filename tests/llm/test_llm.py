@@ -154,10 +154,9 @@ def test_components_of_hubs_and_paths(spark, monkeypatch):
         if u is not None and u != v:
             a, b = top(u), top(v)
             root[max(a, b)] = min(a, b)
-    for heavy in (1000, 20):  # with and without keys met by broadcast
-        monkeypatch.setattr(common, "HEAVY", heavy)
-        got = common.components(spark.createDataFrame(edges, "u long, v long")).collect()
-        assert {r.node: r.root for r in got} == {i: top(i) for i in root} and len(got) == len(root)
+    monkeypatch.setattr(common, "HEAVY", 5)  # hubs are met by broadcast, other nodes are not
+    got = common.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == {i: top(i) for i in root} and len(got) == len(root)
 
 
 def test_rows_that_share_ids_or_lack_them_are_deduplicated_by_text(spark):
@@ -495,15 +494,15 @@ def test_rules_against_brute_force(spark, texts, odd):
 def plain_grams(text, buckets):
     words = PLAIN.findall(text or "")
     joined = " ".join(words)
-    fold = regex.sub(r"[\p{Ll}\p{Lo}\p{M}]", "a", regex.sub(r"\p{Lu}", "A", regex.sub("[0-9]", "0", joined)))
-    fold = re.sub(r"([^ ])\1+", r"\1\1", fold)
+    fold = regex.sub(r"\p{Nd}+", "0", regex.sub(r"\p{Lu}+", "A", regex.sub(r"[\p{Ll}\p{Lo}\p{M}]+", "a", joined)))
+    fold = re.sub(r"([^aA0 ])\1+", r"\1\1", fold).split(" ")
     hashed = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed)
     signed = lambda h: h - 2**64 if h >= 2**63 else h
     out = Counter()
-    for kind, row in ((1, joined.lower().split(" ")), (2, fold.split(" "))):
-        if words:
-            out.update(signed(xxhash_int(kind, hashed(w, 42))) % buckets for w in row)
-            out.update(signed(hashed(b, hashed(a, 42))) % buckets for a, b in zip(row, [*row[1:], ""]))
+    if words:
+        out.update(signed(xxhash_int(1, hashed(w, 42))) % buckets for w in joined.lower().split(" "))
+        out.update(signed(hashed(w, 42)) % buckets for w in fold)
+        out.update(signed(hashed(b, hashed(a, 42))) % buckets for a, b in zip(fold, [*fold[1:], ""]))
     return out
 
 
@@ -581,7 +580,7 @@ def plain_license_labels(text, templates, threshold):
     return ",".join(sorted(out)), max(out.values(), default=0.0)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
 def test_blocks_meet_any_threshold(spark, monkeypatch, threshold):
     rng = np.random.default_rng(6)
     letters = "a b c d e f g h i j k".split()
