@@ -53,17 +53,17 @@ def _times(t: Column, word: str) -> Column:
 def bm25(texts: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score) of the best k texts; ties by id. Terms of the query count as often as they stand in it.
 
-    One pass over the texts: each row keeps its length and its counts of the query's terms, kept while the
-    sums of the statistics are taken and then the scores. The k hits are fetched at once.
+    Two passes over the texts, one for the statistics: each row gives its length and its counts of the
+    query's terms, so nothing but sums is shuffled. (Keeping these rows cached between the passes took
+    longer.) For many queries a stored index is read instead: bm25_indexed().
     """
     want = query_terms(query)
     spark = texts.sparkSession
-    schema = f"id {dict(texts.dtypes)[id_col]}, score double"
     if not want:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"id {dict(texts.dtypes)[id_col]}, score double")
     words = list(want)
     hit = F.transform(F.array(tokens(text_col)), lambda t: F.struct(F.size(t).alias("dl"), *[_times(t, w).alias(f"t{i}") for i, w in enumerate(words)]))[0]
-    rows = texts.select(F.col(id_col).alias("id"), hit.alias("h")).select("id", "h.*").persist()
+    rows = texts.select(F.col(id_col).alias("id"), hit.alias("h")).select("id", "h.*")
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.coalesce(F.sum((F.col(f"t{i}") > 0).cast("long")), F.lit(0)).alias(f"d{i}") for i in range(len(words))]).first()
     avg = max(s["avg"] or 0.0, 1.0)
     score = F.lit(0.0)
@@ -71,9 +71,7 @@ def bm25(texts: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col
         idf = math.log((s["n"] - s[f"d{i}"] + 0.5) / (s[f"d{i}"] + 0.5) + 1)
         tf = F.col(f"t{i}")
         score = score + want[w] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avg))
-    top = rows.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k).collect()
-    rows.unpersist()
-    return spark.createDataFrame([tuple(r) for r in top], schema)
+    return rows.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
 def term_stats(posted: DataFrame, n: int) -> DataFrame:
