@@ -159,8 +159,8 @@ def find_entities(node: DataFrame, type: str | None = None, name: str | None = N
     return out.orderBy("id").limit(limit) if limit else out
 
 
-def neighbours(edge: DataFrame, id: str, depth: int = 2, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, distance) within depth, nearest first then by id, at most limit; and the edges among them.
+def neighbours(edge: DataFrame, id: str, depth: int = 2, limit: int | None = 50) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, distance) within depth, nearest first then by id, at most limit (None: all, in no order); and the edges among them.
 
     Each step joins the edges with the nodes that the step before reached; no ids pass through the driver.
     A node counts with its first step. Since cutting is by distance, what a cut node would have reached
@@ -174,7 +174,8 @@ def neighbours(edge: DataFrame, id: str, depth: int = 2, limit: int = 50) -> tup
         reached = (start if d == 1 else both.join(reached, "id", "left_semi")).select(F.col("other").alias("id")).distinct()
         reached = reached.persist() if d < depth else reached
         found = found.union(reached.select("id", F.lit(d)))
-    near = found.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(limit).persist()
+    near = found.groupBy("id").agg(F.min("distance").alias("distance"))
+    near = (near if limit is None else near.orderBy("distance", "id").limit(limit)).persist()
     ids = near.select("id")
     return near, edge.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
 

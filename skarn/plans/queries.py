@@ -363,7 +363,7 @@ def find_entities(spark, sf):
 WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {_E} UNION ALL SELECT dst, src FROM {_E}), w(id, distance) AS (SELECT 'Region:0', 0 UNION SELECT e.b, w.distance + 1 FROM w JOIN e ON e.a = w.id WHERE w.distance < 2)
 SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY id""")
 def neighbors_bfs(spark, sf):
-    return graph.neighbours(_star(spark, sf)[1], "Region:0", depth=2, limit=100_000)[0]
+    return graph.neighbours(_star(spark, sf)[1], "Region:0", depth=2, limit=None)[0]
 
 
 @query(f"""

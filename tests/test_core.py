@@ -233,6 +233,20 @@ def test_queries_equal_their_sql(spark, sf, duck, name):
         assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_a_neighbourhood_of_any_size_is_whole(spark, sf, tmp_path):
+    for name in ("nation", "region", "supplier"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(100_100).select(F.col("id").alias("c_custkey"), F.lit("c").alias("c_name"), F.when(F.col("id") >= 50, 5).otherwise(1).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "region", "supplier", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["neighbors_bfs"](spark, str(tmp_path)).collect()]
+    assert len(got) > 100_050 and sorted(got) == sorted(con.execute(ORACLES["neighbors_bfs"]).fetchall())
+    edge = spark.range(60).select(F.lit("a").alias("src"), F.concat(F.lit("b"), F.col("id")).alias("dst"))
+    near, between = graph.neighbours(edge, "a", 1, limit=None)
+    assert near.count() == 61 and between.count() == 60 and graph.neighbours(edge, "a", 1)[0].count() == 50 and graph.neighbours(edge, "c", limit=None)[0].count() == 0
+
+
 def test_every_term_is_in_the_whole_index(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     df = Counter(w for x in texts for w in {w for w in re.findall("[а-яёa-z0-9]+", (x or "").lower()) if len(w) > 1})
